@@ -118,3 +118,38 @@ class Memo(dict):
         if len(self) + len(keys) > self.cap:
             self.clear()
         self.update(zip(keys, values))
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, parts: int = 1000) -> DataFrame:
+    """left joined to right, which has each key once and in weight the rows that left has of it.
+
+    Keys with over 1/parts of all rows, of which there can't be more than parts, are broadcast; so no task gets a hot key.
+    Null keys match nothing and are dropped; both inputs should be cheap to read again.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) * parts > total).drop(weight)
+    rest = right.where(F.col(weight) * parts <= total).drop(weight)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root: every node of the links and the smallest node that it reaches, by alternating large and small stars.
+
+    Each round is written to the shared folder, so lost executors cost one round at most; the number of rounds grows with
+    the logarithm of the number of nodes. Groups are reduced before they are shuffled. No links give an empty table.
+    """
+    edges = spool(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    mark = None
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark or not now[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
+        mark = now
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spool(large, "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        old, edges = edges, spool(small, "small-star")
+        release(old, large)
