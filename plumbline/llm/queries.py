@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, piece_codec, simhash, token_count, toxicity, url_filter
+from plumbline.llm import chat_format, piece_codec, simhash, token_count, toxicity, url_filter, warc
 from plumbline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(chats.unionByName(planted)))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,6 +49,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
     "op7_simhash": op7_simhash,
