@@ -40,6 +40,7 @@ class Settings:
     pad: int = 300  # zero vectors in each mean
     epochs: int = 8
     batch: int = 32
+    weight: float = 3.0  # of a toxic document against a clean one
     rate: float = 1.0
     seed: int = 7
 
@@ -71,6 +72,18 @@ class Model:
         return float(self.bucket_score[found].sum(dtype=np.float64)), len(found)
 
 
+def _batch(bags: list, chosen: np.ndarray) -> tuple:
+    """Flat arrays of a batch, with the order that brings equal buckets together; the same in every epoch."""
+    sizes = np.array([len(bags[i][0]) for i in chosen])
+    ids = np.concatenate([bags[i][0] for i in chosen]).astype(np.int32)
+    weight = np.concatenate([bags[i][1] for i in chosen])
+    filled = np.flatnonzero(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[filled]
+    by = np.argsort(ids, kind="stable").astype(np.int32)
+    heads = np.flatnonzero(np.diff(ids[by], prepend=-1))
+    return chosen, filled, starts, ids, weight, np.repeat(np.arange(len(chosen), dtype=np.int16), sizes), by, heads, ids[by][heads]
+
+
 def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     """Stochastic gradient descent over document batches; embeddings and softmax learn jointly with per-row step sizes."""
     rng = np.random.default_rng(s.seed)
@@ -88,29 +101,26 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     kept = seen >= s.least
     bags = [(ids[kept[ids]], w[kept[ids]]) for ids, w in bags]
     y = np.array(labels, np.int64)
+    cost = np.where(y == 1, s.weight, 1).astype(np.float32)
+    order = rng.permutation(len(bags))
+    batches = [_batch(bags, order[k : k + s.batch]) for k in range(0, len(order), s.batch)]
+    bags.clear()
     emb = np.where(kept[:, None], rng.uniform(-1, 1, (s.buckets, s.dims)).astype(np.float32) / s.dims, np.float32(0))
     grad2 = np.full(s.buckets, 1e-8, np.float32)
     out, bias = np.zeros((2, s.dims), np.float32), np.zeros(2, np.float32)
     out2, bias2 = np.full((2, s.dims), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    steps = max(1, s.epochs * -(-len(bags) // s.batch))
-    step = 0
-    for _ in range(s.epochs if bags else 0):
-        order = rng.permutation(len(bags))
-        for k in range(0, len(order), s.batch):
-            chosen = order[k : k + s.batch]
-            ids = np.concatenate([bags[i][0] for i in chosen])
-            weight = np.concatenate([bags[i][1] for i in chosen])
-            sizes = np.array([len(bags[i][0]) for i in chosen])
-            doc = np.repeat(np.arange(len(chosen)), sizes)
+    steps, step = max(1, s.epochs * len(batches)), 0
+    for _ in range(s.epochs):
+        for k in rng.permutation(len(batches)):
+            chosen, filled, starts, ids, weight, doc, by, heads, unique = batches[k]
             hidden = np.zeros((len(chosen), s.dims), np.float32)
-            rows = emb[ids]
-            filled = np.flatnonzero(sizes)
-            if len(filled):
-                hidden[filled] = np.add.reduceat(rows * weight[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]])[filled], axis=0)
+            if len(ids):
+                hidden[filled] = np.add.reduceat(emb[ids] * weight[:, None], starts, axis=0)
             logits = hidden @ out.T + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(chosen)), y[chosen]] -= 1
+            p *= cost[chosen][:, None]
             lr = s.rate * (1 - step / steps)
             step += 1
             to_hidden = p @ out
@@ -119,14 +129,10 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
             bias2 += g_bias**2
             out -= lr * 0.5 * g_out / np.sqrt(out2)
             bias -= lr * 0.1 * g_bias / np.sqrt(bias2)
-            g = to_hidden[doc] * weight[:, None]
-            if not len(ids):
-                continue
-            by = np.argsort(ids, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[by]) != 0]))
-            unique, total = ids[by][heads], np.add.reduceat(g[by], heads, axis=0)
-            grad2[unique] += (total**2).mean(1)
-            emb[unique] -= lr * 0.5 * total / np.sqrt(grad2[unique])[:, None]
+            if len(ids):
+                total = np.add.reduceat((to_hidden[doc] * weight[:, None])[by], heads, axis=0)
+                grad2[unique] += (total**2).mean(1)
+                emb[unique] -= lr * 0.5 * total / np.sqrt(grad2[unique])[:, None]
     return Model(s, (emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
