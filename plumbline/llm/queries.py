@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, media_chunks, piece_codec, simhash, token_count, toxicity, url_filter, warc
+from plumbline.llm import chat_format, decontaminate, media_chunks, piece_codec, simhash, token_count, toxicity, url_filter, warc
 from plumbline.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,

@@ -116,10 +116,10 @@ def _shortcut(path: str, known: list[str], by_rank: bool) -> Callable[[list[str]
             extra.append(hits)
             lists.append([x for part in special.split(t) for x in BYTE_LEVEL.findall(part)] if hits else BYTE_LEVEL.findall(t))
         every = set().union(*lists)
-        missing = list(every - memo.keys())
+        missing = [w for w in every if w not in memo]
         if len(memo) + len(missing) > len(whole) + MEMO_ENTRIES:
             memo = dict(whole)
-            missing = list(every - memo.keys())
+            missing = [w for w in every if w not in memo]
         memo.update(zip(missing, merge(missing)))
         return [sum(map(memo.__getitem__, x)) + n for x, n in zip(lists, extra)]
 

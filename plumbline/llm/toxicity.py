@@ -1,8 +1,8 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained together in numpy.
 
-A word is the bag of its character n-grams and itself, hashed to buckets; a document is the mean over the bags of its
-distinct words and a fixed number of zero vectors, which keeps short texts from extremes. An unseen misspelling shares
-most n-grams with the word it comes from, hence most of its vector.
+A word is the bag of its character n-grams and itself, hashed to buckets. A stretch of text is the mean over the bags of its
+distinct words and a fixed number of zero vectors, which keeps short texts from extremes; a document is the mean over its
+stretches. An unseen misspelling shares most n-grams with the word it comes from, hence most of its vector.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +21,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import map_texts
 
 WORD = re.compile(r"[^\W_]+")
-MEMO_ENTRIES = 200_000
-#: Longer words take part by their n-grams up to here and again from each further stretch, so no word is cut short.
-STRETCH = 48
+MEMO_ENTRIES = 300_000
 
 
 @dataclass(frozen=True)
@@ -33,32 +30,61 @@ class Settings:
 
     sample: int = 6_000
     buckets: int = 1 << 18
-    dims: int = 8
+    dims: int = 4
     low: int = 3
     high: int = 5
-    least: int = 3  # documents of the sample that a bucket must be in to be trained; others stay zero
+    least: int = 4  # documents of the sample that a bucket must be in to be trained; others stay zero
     pad: int = 300  # zero vectors in each mean
-    epochs: int = 8
+    stretch: int = 200  # words of a stretch, about
+    epochs: int = 12
     batch: int = 32
     weight: float = 3.0  # of a toxic document against a clean one
-    rate: float = 1.0
+    rate: float = 4.0
     seed: int = 7
 
 
-def subwords(word: str, s: Settings) -> np.ndarray:
-    """Bucket numbers of the n-grams of <word> and of the whole word."""
-    grams = []
-    for k in range(0, len(word), STRETCH):
-        marked = f"<{word[k : k + STRETCH]}>"
-        grams += [marked[i : i + n] for n in range(s.low, s.high + 1) for i in range(len(marked) - n + 1)]
-    grams.append(f"={word}")
-    return np.array([xxhash.xxh32_intdigest(g.encode()) % s.buckets for g in grams], np.int32)
+def subwords(found: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and word number of every n-gram of <word> and of every whole word."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    codes = np.frombuffer("".join([f"<{w}>" for w in found]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    number = np.repeat(np.arange(len(found), dtype=np.int32), lengths)
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(codes))  # characters from here to the word's end
+    buckets, numbers = [], []
+    h = np.full(len(codes), 2166136261, np.uint32)
+    for n in range(1, s.high + 1):
+        if len(codes) < n:
+            break
+        h = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * np.uint32(16777619)
+        if n >= s.low:
+            whole = np.flatnonzero(left[: len(h)] >= n)
+            x = h[whole] * np.uint32(2654435769 + 2 * n)
+            buckets.append((x ^ x >> np.uint32(15)) & np.uint32(s.buckets - 1))
+            numbers.append(number[whole])
+    if len(found):
+        place = np.arange(len(codes)) - np.repeat(ends - lengths, lengths)
+        power = np.cumprod(np.concatenate([[1], np.full(int(lengths.max()), 31)]).astype(np.uint32), dtype=np.uint32)
+        x = np.add.reduceat(codes * power[place], ends - lengths, dtype=np.uint32) * np.uint32(2654435769)
+        buckets.append((x ^ x >> np.uint32(13)) & np.uint32(s.buckets - 1))
+        numbers.append(np.arange(len(found), dtype=np.int32))
+    return (np.concatenate(buckets).astype(np.int32), np.concatenate(numbers)) if buckets else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def gram_count(length: int, s: Settings) -> int:
+    return 1 + sum(max(0, length + 3 - n) for n in range(s.low, s.high + 1))
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def stretches(text: str, s: Settings) -> list[set[str]]:
+    """The distinct words of each of the equal parts of a text; none for a wordless one."""
+    found = words(text)
+    n = -(-len(found) // s.stretch)
+    return [set(found[len(found) * k // n : len(found) * (k + 1) // n]) for k in range(n)]
+
+
 @dataclass
 class Model:
     """After training only the score of each bucket matters: embedding times the difference of the two output rows."""
@@ -67,9 +93,9 @@ class Model:
     bucket_score: np.ndarray
     bias: float
 
-    def word_score(self, word: str) -> tuple[float, int]:
-        found = subwords(word, self.settings)
-        return float(self.bucket_score[found].sum(dtype=np.float64)), len(found)
+    def word_scores(self, found: list[str]) -> list[float]:
+        ids, number = subwords(found, self.settings)
+        return np.bincount(number, self.bucket_score[ids].astype(np.float64), len(found)).tolist() if found else []
 
 
 def _batch(bags: list, chosen: np.ndarray) -> tuple:
@@ -87,16 +113,18 @@ def _batch(bags: list, chosen: np.ndarray) -> tuple:
 def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     """Stochastic gradient descent over document batches; embeddings and softmax learn jointly with per-row step sizes."""
     rng = np.random.default_rng(s.seed)
-    memo: dict[str, np.ndarray] = {}
     bags = []
     for t in texts:
-        found = set(words(t))
-        for w in found - memo.keys():
-            memo[w] = subwords(w, s)
-        flat = np.concatenate([memo[w] for w in sorted(found)]) if found else np.zeros(0, np.int32)
-        ids, n = np.unique(flat, return_counts=True)
-        bags.append((ids, (n / (len(flat) + s.pad)).astype(np.float32)))
-    memo.clear()
+        parts = stretches(t, s)
+        every = sorted(set().union(*parts))
+        flat, number = subwords(every, s)
+        weight = np.zeros(len(every))
+        at = {w: i for i, w in enumerate(every)}
+        for part in parts:
+            share = 1 / (len(parts) * (sum(gram_count(len(w), s) for w in part) + s.pad))
+            weight[[at[w] for w in part]] += share
+        ids, back = np.unique(flat, return_inverse=True)
+        bags.append((ids, np.bincount(back, weight[number], len(ids)).astype(np.float32)))
     seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=s.buckets) if bags else np.zeros(s.buckets)
     kept = seen >= s.least
     bags = [(ids[kept[ids]], w[kept[ids]]) for ids, w in bags]
@@ -156,22 +184,25 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
 
 def _work(model) -> Callable[[list[str]], dict]:
     m: Model = model.value
-    memo: dict[str, tuple[float, int]] = {}
+    memo: dict[str, float] = {}
+    counts = [gram_count(n, m.settings) for n in range(64)]
 
     def work(texts: list[str]) -> dict:
-        lists = [set(words(t)) for t in texts]
-        every = set().union(*lists)
-        missing = list(every - memo.keys())
+        lists = [stretches(t, m.settings) for t in texts]
+        every = set().union(*(part for parts in lists for part in parts))
+        missing = [w for w in every if w not in memo]
         if len(memo) + len(missing) > MEMO_ENTRIES:
             memo.clear()
             missing = list(every)
-        memo.update(zip(missing, map(m.word_score, missing)))
+        memo.update(zip(missing, m.word_scores(missing)))
         scores = []
-        for found in lists:
-            pairs = [*map(memo.__getitem__, found)]
-            n = sum(p[1] for p in pairs)
-            z = m.bias + math.fsum(p[0] for p in pairs) / (n + m.settings.pad)
-            scores.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
+        for parts in lists:
+            z = 0.0
+            for part in parts:
+                n = sum(counts[k] if k < 64 else gram_count(k, m.settings) for k in map(len, part))
+                z += math.fsum(map(memo.__getitem__, part)) / (n + m.settings.pad)
+            z = m.bias + z / max(1, len(parts))
+            scores.append(1 / (1 + math.exp(-min(40.0, max(-40.0, z)))))
         return {"score": scores, "predicted": [int(x >= 0.5) for x in scores]}
 
     return work
