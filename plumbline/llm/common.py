@@ -86,6 +86,21 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]], piece_chars: int = 4_000_000) -> DataFrame:
+    """The rows of df, all columns as they are, for whose text make()(texts) is true; nothing is shuffled."""
+    ship(df.sparkSession)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for a, b in groups(batch.column(place), piece_chars):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(work(texts_of(part.column(place))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def groups(column: pa.Array, piece_chars: int) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts have about piece_chars bytes together; a longer text is alone."""
     import pyarrow.compute as pc

@@ -8,8 +8,9 @@ that a window may start at are embedded by the same walks. Sampled steps form ke
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import groups, ship, texts_of
+from plumbline.llm.common import groups, keep_rows, ship, texts_of
 
 @dataclass(frozen=True)
 class Search:
@@ -225,6 +226,32 @@ class Index:
         return [(t, i, d) for (t, i), d in sorted(found.items())]
 
 
+def item_blocks(items: DataFrame, search: Search, item_col: str, item_text_col: str) -> Iterator[list[tuple[object, str]]]:
+    """The items that have a text, in blocks of about search.block; one empty block if there are none."""
+    source = items.select(F.col(item_col), F.col(item_text_col).cast("string").alias("t")).where("t <> ''")
+    blocks = max(1, -(-source.count() // search.block))
+    for b in range(blocks):
+        mine = source.where(F.pmod(F.xxhash64("t", item_col), F.lit(blocks)) == b) if blocks > 1 else source
+        yield sorted(((r[0], r[1]) for r in mine.collect()), key=lambda r: (r[0] is None, str(r[0]), r[1]))
+
+
+def _without_leaks(index) -> Callable[[list[str]], list[bool]]:
+    hashes, own = WordHashes(), index.value
+
+    def work(texts: list[str]) -> list[bool]:
+        leaking = {t for t, _, _ in own.search_texts([hashes(t) for t in texts])}
+        return [i not in leaking for i in range(len(texts))]
+
+    return work
+
+
+def reject_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no item is found (see find_leaks); one pass for each block of items."""
+    for rows in item_blocks(items, search, item_col, item_text_col):
+        docs = keep_rows(docs, text_col, partial(_without_leaks, docs.sparkSession.sparkContext.broadcast(Index(rows, search))), 3_000_000)
+    return docs
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id_col, item_col, distance, item_words: each document and item of which it holds a passage within error edits a word.
 
@@ -234,14 +261,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), id_
     """
     spark = docs.sparkSession
     ship(spark)
-    source = items.select(F.col(item_col), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t")).where("t <> ''")
-    count = source.count()
-    blocks = max(1, -(-count // search.block))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item", T.IntegerType()), T.StructField("distance", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
     out = None
-    for b in range(blocks):
-        mine = source.where(F.pmod(F.xxhash64("t", item_col), F.lit(blocks)) == b) if blocks > 1 else source
-        rows = sorted(((r[0], r[1]) for r in mine.collect()), key=lambda r: (r[0] is None, str(r[0]), r[1]))
+    for rows in item_blocks(items, search, item_col, item_text_col):
         index = spark.sparkContext.broadcast(Index(rows, search))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, decontaminate, media_chunks, piece_codec, simhash, token_count, toxicity, url_filter, warc
+from plumbline.llm import chat_format, decontaminate, license_scan, license_texts, media_chunks, piece_codec, simhash, token_count, toxicity, url_filter, warc
 from plumbline.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_texts.TEMPLATES)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of its own number: bad if its quality is 0."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
@@ -56,6 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece,

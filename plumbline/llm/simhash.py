@@ -127,3 +127,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     known = spool(placed.join(component, "root").select("fp", "n", "component_id"), "components")
     return join_unique(marked, known, "fp", "n").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest id of each component; of repeated rows of one id one stays.
+
+    Rows without an id can't be chosen by it: they all stay.
+    """
+    found = near_duplicates(docs, words, distance, id_col, text_col)
+    kept = spool(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    out = docs.join(kept.select(id_col), id_col, "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        out = out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import map_texts
+from plumbline.llm.common import keep_rows, map_texts
 
 WORD = re.compile(r"[^\W_]+")
 MEMO_ENTRIES = 300_000
@@ -221,3 +221,13 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """id_col, held_out, score, predicted: fit, then score every row of docs. Empty labels give scores of 0.5."""
     scored = score(docs, fit(docs, labels, settings, id_col, text_col), id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+
+
+def _clean(model) -> Callable[[list[str]], list[bool]]:
+    work = _work(model)
+    return lambda texts: [not x for x in work(texts)["predicted"]]
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted toxic; null and wordless texts are judged by the bias alone."""
+    return keep_rows(docs, text_col, partial(_clean, docs.sparkSession.sparkContext.broadcast(model)))
