@@ -136,7 +136,8 @@ def deduplicate(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str
     """
     found = near_duplicates(docs, words, distance, id_col, text_col)
     kept = spool(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")), "kept")
-    out = docs.join(kept.select(id_col), id_col, "left_semi")
+    # the list of ids grows with the documents: the join is shuffled at every size, without sorting the texts
+    out = docs.join(kept.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
     if not kept.where("rows > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
