@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import extraction, relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**extraction.QUERIES, **relational.QUERIES}
+ORACLES: dict[str, str] = {**extraction.ORACLES, **relational.ORACLES}
