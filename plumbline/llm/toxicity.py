@@ -92,6 +92,7 @@ class Model:
     settings: Settings
     bucket_score: np.ndarray
     bias: float
+    base: float  # share of toxic documents in the fit
 
     def word_scores(self, found: list[str]) -> list[float]:
         ids, number = subwords(found, self.settings)
@@ -161,7 +162,9 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
                 total = np.add.reduceat((to_hidden[doc] * weight[:, None])[by], heads, axis=0)
                 grad2[unique] += (total**2).mean(1)
                 emb[unique] -= lr * 0.5 * total / np.sqrt(grad2[unique])[:, None]
-    return Model(s, (emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    if not len(y):
+        return Model(s, np.zeros(s.buckets, np.float32), -40.0, 0.0)
+    return Model(s, (emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]), float(y.mean()))
 
 
 def held_out(id_col: Column) -> Column:
@@ -202,7 +205,7 @@ def _work(model) -> Callable[[list[str]], dict]:
                 n = sum(counts[k] if k < 64 else gram_count(k, m.settings) for k in map(len, part))
                 z += math.fsum(map(memo.__getitem__, part)) / (n + m.settings.pad)
             z = m.bias + z / max(1, len(parts))
-            scores.append(1 / (1 + math.exp(-min(40.0, max(-40.0, z)))))
+            scores.append(1 / (1 + math.exp(-min(40.0, max(-40.0, z)))) if parts else m.base)
         return {"score": scores, "predicted": [int(x >= 0.5) for x in scores]}
 
     return work
@@ -211,14 +214,14 @@ def _work(model) -> Callable[[list[str]], dict]:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1, of label 1), predicted (1 if score >= 0.5) for the whole text of every row.
 
-    Null, empty and wordless texts get the score of the bias alone. The model that is broadcast has a fixed number of buckets.
+    Null, empty and wordless texts score the share of toxic documents in the fit; without any labels all scores are next to 0. The model that is broadcast has a fixed number of buckets.
     """
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return map_texts(docs, id_col, text_col, partial(_work, docs.sparkSession.sparkContext.broadcast(model)), fields)
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score, predicted: fit, then score every row of docs. Empty labels give scores of 0.5."""
+    """id_col, held_out, score, predicted: fit, then score every row of docs."""
     scored = score(docs, fit(docs, labels, settings, id_col, text_col), id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
@@ -229,5 +232,5 @@ def _clean(model) -> Callable[[list[str]], list[bool]]:
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that aren't predicted toxic; null and wordless texts are judged by the bias alone."""
+    """The rows of docs, with all their columns, that aren't predicted toxic; null and wordless texts by the share of toxic documents."""
     return keep_rows(docs, text_col, partial(_clean, docs.sparkSession.sparkContext.broadcast(model)))
