@@ -102,12 +102,14 @@ class Model:
 def _batch(bags: list, chosen: np.ndarray) -> tuple:
     """Flat arrays of a batch, with the order that brings equal buckets together; the same in every epoch."""
     sizes = np.array([len(bags[i][0]) for i in chosen])
-    ids = np.concatenate([bags[i][0] for i in chosen]).astype(np.int32)
+    ids = np.concatenate([bags[i][0] for i in chosen])
     weight = np.concatenate([bags[i][1] for i in chosen])
+    for i in chosen:
+        bags[i] = None  # each is in one batch only
     filled = np.flatnonzero(sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[filled]
     by = np.argsort(ids, kind="stable").astype(np.int32)
-    heads = np.flatnonzero(np.diff(ids[by], prepend=-1))
+    heads = np.flatnonzero(np.diff(ids[by], prepend=-1)).astype(np.int32)
     return chosen, filled, starts, ids, weight, np.repeat(np.arange(len(chosen), dtype=np.int16), sizes), by, heads, ids[by][heads]
 
 
@@ -125,15 +127,18 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
             share = 1 / (len(parts) * (sum(gram_count(len(w), s) for w in part) + s.pad))
             weight[[at[w] for w in part]] += share
         ids, back = np.unique(flat, return_inverse=True)
-        bags.append((ids, np.bincount(back, weight[number], len(ids)).astype(np.float32)))
-    seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=s.buckets) if bags else np.zeros(s.buckets)
+        bags.append((ids.astype(np.int32), np.bincount(back, weight[number], len(ids)).astype(np.float32)))
+    seen = np.zeros(s.buckets, np.int32)
+    for ids, _ in bags:
+        seen[ids] += 1
     kept = seen >= s.least
-    bags = [(ids[kept[ids]], w[kept[ids]]) for ids, w in bags]
+    for i, (ids, w) in enumerate(bags):
+        bags[i] = ids[kept[ids]], w[kept[ids]]
     y = np.array(labels, np.int64)
     cost = np.where(y == 1, s.weight, 1).astype(np.float32)
     order = rng.permutation(len(bags))
     batches = [_batch(bags, order[k : k + s.batch]) for k in range(0, len(order), s.batch)]
-    bags.clear()
+    del bags
     emb = np.where(kept[:, None], rng.uniform(-1, 1, (s.buckets, s.dims)).astype(np.float32) / s.dims, np.float32(0))
     grad2 = np.full(s.buckets, 1e-8, np.float32)
     out, bias = np.zeros((2, s.dims), np.float32), np.zeros(2, np.float32)
