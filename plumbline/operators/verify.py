@@ -35,17 +35,16 @@ def verify(judged: DataFrame, files: DataFrame, fresh_claims: DataFrame, fresh_f
     """
     claim_columns = [c for c in fresh_claims.columns if c in judged.columns]
     doubted = judged.where("decision = 'INCONSISTENT'").withColumn("reference", F.when((F.size("fact_ids") == 1) & (F.col("fact.fact_id") == F.get("fact_ids", F.lit(0))), F.col("fact")))
-    blob = files.select("repo_id", F.col("path").alias("p"), F.col("content"))
+    blob = files.select(F.col("repo_id").alias("_r"), F.col("path").alias("_p"), F.col("content").alias("_content"))
     for side, path in (("doc", F.col("span.path")), ("code", F.col("reference.span.path"))):
-        here = blob.select(F.col("repo_id").alias("r"), "p", F.col("content").alias(f"{side}_content"))
-        doubted = doubted.join(here, (doubted["repo_id"] == here["r"]) & (path == here["p"]), "left").drop("r", "p")
+        doubted = doubted.join(blob, (F.col("repo_id") == F.col("_r")) & (path == F.col("_p")), "left").withColumnRenamed("_content", f"{side}_content").drop("_r", "_p")
     links = doubted.where(F.size("reference.provenance") > 0).select("repo_id", "claim_id", F.explode("reference.provenance").alias("link"))
-    broken = links.join(blob, (links["repo_id"] == blob["repo_id"]) & (F.col("link.path") == blob["p"]), "left").where(~span_holds(F.col("link"), F.col("content"), None)).select(links["repo_id"], "claim_id").distinct().withColumn("broken", F.lit(True))
+    broken = links.join(blob, (F.col("repo_id") == F.col("_r")) & (F.col("link.path") == F.col("_p")), "left").where(~span_holds(F.col("link"), F.col("_content"), None)).select("repo_id", "claim_id").distinct().withColumn("broken", F.lit(True))
     evidence = span_holds(F.col("span"), F.col("doc_content"), F.col("quote")) & span_holds(F.col("reference.span"), F.col("code_content"), F.col("reference.expression"))
     checked = doubted.join(broken, ["repo_id", "claim_id"], "left").withColumn("evidence", evidence & F.col("broken").isNull()).drop("doc_content", "code_content", "broken")
     again = fresh_claims.select("repo_id", "claim_id", F.struct(*claim_columns).alias("fresh_claim"))
-    facts_again = fresh_facts.select("repo_id", F.col("fact_id").alias("fresh_id"), F.struct(*fresh_facts.columns).alias("fresh_fact"))
-    checked = checked.join(again, ["repo_id", "claim_id"], "left").join(facts_again, (checked["repo_id"] == facts_again["repo_id"]) & (F.col("reference.fact_id") == F.col("fresh_id")), "left").drop(facts_again["repo_id"]).drop("fresh_id")
+    facts_again = fresh_facts.select(F.col("repo_id").alias("_r"), F.col("fact_id").alias("_id"), F.struct(*fresh_facts.columns).alias("fresh_fact"))
+    checked = checked.join(again, ["repo_id", "claim_id"], "left").join(facts_again, (F.col("repo_id") == F.col("_r")) & (F.col("reference.fact_id") == F.col("_id")), "left").drop("_r", "_id")
     mine = F.struct(*claim_columns)
     refound = F.coalesce(mine.eqNullSafe(F.col("fresh_claim")) & F.col("reference").eqNullSafe(F.col("fresh_fact")), F.lit(False))
     proven = judge(align(fresh_claims.join(doubted.select("repo_id", "claim_id"), ["repo_id", "claim_id"], "left_semi"), fresh_facts))
