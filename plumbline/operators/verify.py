@@ -34,7 +34,8 @@ def verify(judged: DataFrame, files: DataFrame, fresh_claims: DataFrame, fresh_f
     written, as the inputs of the tables that follow.
     """
     claim_columns = [c for c in fresh_claims.columns if c in judged.columns]
-    doubted = judged.where("decision = 'INCONSISTENT'").withColumn("reference", F.when((F.size("fact_ids") == 1) & (F.col("fact.fact_id") == F.get("fact_ids", F.lit(0))), F.col("fact")))
+    doubted = written(judged.where("decision = 'INCONSISTENT'"), "doubted")
+    doubted = doubted.withColumn("reference", F.when((F.size("fact_ids") == 1) & (F.col("fact.fact_id") == F.get("fact_ids", F.lit(0))), F.col("fact")))
     blob = files.select(F.col("repo_id").alias("_r"), F.col("path").alias("_p"), F.col("content").alias("_content"))
     for side, path in (("doc", F.col("span.path")), ("code", F.col("reference.span.path"))):
         doubted = doubted.join(blob, (F.col("repo_id") == F.col("_r")) & (path == F.col("_p")), "left").withColumnRenamed("_content", f"{side}_content").drop("_r", "_p")
