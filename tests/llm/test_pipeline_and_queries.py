@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import duckdb
 import pytest
-from conftest import prose
+from samples import prose
 from pyspark.sql import functions as F
 
 from plumbline.llm import queries

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import prose
+from samples import prose
 
 from plumbline.llm import decontaminate, license_scan
 from plumbline.llm.license_texts import TEMPLATES
