@@ -123,3 +123,35 @@ def exit_code(status: Column, confirmed: Column, fail_on: str = "confirmed", req
     if fail_on == "confirmed":
         out = out.when(confirmed > 0, 1)
     return out.otherwise(0)
+
+
+def over_cap(samples: DataFrame, group: str, most: int) -> DataFrame:
+    """Groups with more samples than allowed."""
+    return samples.groupBy(group).agg(F.count(F.lit(1)).alias("samples")).where(F.col("samples") > most)
+
+
+def request_bound(samples: DataFrame, methods: int, most: int) -> DataFrame:
+    """The most requests that a suite may send: samples times methods that ask a model times requests of a scan."""
+    return samples.agg((F.count(F.lit(1)) * methods * most).alias("requests"))
+
+
+def reserve(requests: DataFrame, keys: list[str], order: str, cost: str, most_requests: int, most_tokens: int) -> DataFrame:
+    """requests with granted: in order, each takes one request and its cost if both still fit; a refused one takes nothing."""
+    rows = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("rows"))
+    order_type = requests.schema[order].dataType.simpleString()
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{order_type},ok:boolean>>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        ok = (acc["n"] < most_requests) & (acc["used"] + r["c"] <= most_tokens)
+        return F.struct((acc["n"] + F.when(ok, 1).otherwise(0).cast("long")).alias("n"), (acc["used"] + F.when(ok, r["c"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(acc["out"], F.array(F.struct(r["o"].alias("o"), ok.alias("ok")))).alias("out"))
+
+    given = rows.select(*keys, F.explode(F.aggregate("rows", zero, step)["out"]).alias("r")).select(*keys, F.col("r.o").alias(order), F.col("r.ok").alias("granted"))
+    return requests.join(given, [*keys, order])
+
+
+def recheck(saved: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric: saved values that a new computation doesn't confirm, rows that only one side has included."""
+    values = [c for c in saved.columns if c not in keys]
+    a, b = saved.select(*keys, F.struct(*values).alias("a")), computed.select(*keys, F.struct(*values).alias("b"))
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}")), v) for v in values]))
+    return a.join(b, keys, "full_outer").select(*keys, F.explode(differs).alias("metric"))

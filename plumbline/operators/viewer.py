@@ -77,3 +77,31 @@ def diff_lines(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFra
     inside = W.partitionBy(*keys, "hunk").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     seen = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(inside), F.lit(0))
     return rows.select(*keys, "row", "kind", F.when(F.col("kind").isin("remove", "same"), F.col("o") + seen("remove", "same")).alias("old_line"), F.when(F.col("kind").isin("add", "same"), F.col("n") + seen("add", "same")).alias("new_line"), "text")
+
+
+def snippet_lines(texts: DataFrame, keys: list[str], text: str, needle: str | Column, first: int = 1) -> DataFrame:
+    """keys, line (numbered from first), content, hit: whether the line is the first to contain needle."""
+    wanted = F.lit(needle) if isinstance(needle, str) else needle
+    rows = texts.select(*keys, wanted.alias("_needle"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_at", "content"))
+    has = F.when(F.contains("content", F.col("_needle")), F.col("_at"))
+    rows = rows.withColumn("_first", F.min(has).over(W.partitionBy(*keys)))
+    return rows.select(*keys, (F.col("_at") + first).alias("line"), "content", F.coalesce(F.col("_at") == F.col("_first"), F.lit(False)).alias("hit"))
+
+
+def with_signature(records: DataFrame, facts: DataFrame, keys: list[str], kind: str, wanted: str, order: str, shown: str) -> DataFrame:
+    """records with signature: shown of the first fact of the wanted kind with the same keys, null without one."""
+    first = facts.where(F.col(kind) == wanted).groupBy(*keys).agg(F.min_by(shown, order).alias("signature"))
+    return records.join(first, keys, "left")
+
+
+def closed(comparable_runs: Column, after: str) -> Column:
+    """A case is closed if the runs can be compared and the second is complete and finds nothing at all."""
+    nothing = [F.col(f"{after}.{c}") == 0 for c in ("confirmed", "uncertain", "unverified")]
+    return F.coalesce(comparable_runs & (F.col(f"{after}.status") == "COMPLETED") & nothing[0] & nothing[1] & nothing[2], F.lit(False))
+
+
+def history(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, step, event, detail: what happened in a run, one row for each step that it has (snapshot, scan, patch, rescan)."""
+    step = lambda n, event, detail: F.struct(F.lit(n).alias("step"), F.lit(event).alias("event"), detail.cast("string").alias("detail"))
+    steps = F.array(step(1, "snapshot", F.col("head_sha")), step(2, "scan", F.col("status")), step(3, "patch", F.col("patch_id")), step(4, "rescan", F.col("rescan_status")))
+    return runs.select(*keys, F.inline(F.filter(steps, lambda s: s["detail"].isNotNull())))

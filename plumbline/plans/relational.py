@@ -438,6 +438,82 @@ SELECT p_partkey, r::INT AS row, kind, (p_size + o)::INT AS old_line, (p_size +
 FROM part, (VALUES (0, 'file', NULL, NULL, '--- a/x'), (1, 'file', NULL, NULL, '+++ b/x'), (2, 'hunk', NULL, NULL, ''), (3, 'same', 0, 0, ' same'), (4, 'remove', 1, NULL, '-old'), (5, 'add', NULL, 1, '+new'), (6, 'add', NULL, 2, '+more'), (7, 'same', 2, 3, ' same')) v(r, kind, o, n, t)"""
 
 
-_ALL: list = [stable_ids, snapshot_admit, snapshot_filter, snapshot_diff, snapshot_hash, line_offsets, heading_context, asof_binding, align_candidates, align_property_only, ignore_rules, run_status, report_counts, integrity_violations, metrics_overall, metrics_grouped, metrics_violations, split_leakage, ownership_overlap, scope_containment, keyword_baseline, recall_at_k, review_diff, review_fields, dev_overlap, method_comparison, viewer_records, viewer_page, viewer_latest, viewer_upsert, viewer_tree, report_compare, notice_lines, text_helpers, diff_lines]
+def snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", "text", F.left("lang", F.lit(1)).alias("c"))
+    lines = viewer.snippet_lines(docs, ["doc_id"], "text", F.col("c"))
+    return lines.select("doc_id", "line", "hit", F.length("content").alias("chars"))
+
+
+SNIPPET_LINES = """
+WITH l AS (SELECT doc_id, left(lang, 1) AS c, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE length(text) > 0),
+f AS (SELECT *, min(CASE WHEN contains(x, c) THEN line END) OVER (PARTITION BY doc_id) AS first FROM l)
+SELECT doc_id, line::INT AS line, coalesce(line = first, false) AS hit, length(x)::INT AS chars FROM f"""
+
+
+def signature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity_id"), "o_orderstatus")
+    facts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity_id"), "l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"), "l_partkey")
+    return viewer.with_signature(orders, facts, ["entity_id"], "l_returnflag", "R", "place", "l_partkey")
+
+
+SIGNATURE_LOOKUP = """
+SELECT o_orderkey AS entity_id, o_orderstatus, (SELECT arg_min(l_partkey, row(l_linenumber, l_partkey, l_suppkey)) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS signature FROM orders"""
+
+
+def source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.over_cap(read(spark, sf_dir, "documents").where("lang = 'en'"), "source", 20)
+
+
+SOURCE_CAP = "SELECT source, count(*) AS samples FROM documents WHERE lang = 'en' GROUP BY source HAVING count(*) > 20"
+
+
+def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = read(spark, sf_dir, "events").where("event_id < 200 * 150 AND user_id < 100").select("user_id", "event_id", (F.col("value") * 10).cast("long").alias("tokens"))
+    granted = metrics.reserve(calls, ["user_id"], "event_id", "tokens", 20, 5_000)
+    return granted.groupBy("user_id").agg(F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("refused")).crossJoin(metrics.request_bound(calls, 2, 3))
+
+
+REQUEST_BUDGET = """
+WITH RECURSIVE c AS (SELECT user_id, event_id, trunc(value * 10)::BIGINT AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id < 200 * 150 AND user_id < 100),
+w(user_id, n, k, used, ok) AS (
+  SELECT user_id, n, CASE WHEN tokens <= 5000 THEN 1 ELSE 0 END, CASE WHEN tokens <= 5000 THEN tokens ELSE 0 END, tokens <= 5000 FROM c WHERE n = 1
+  UNION ALL SELECT c.user_id, c.n, w.k + CASE WHEN w.k < 20 AND w.used + c.tokens <= 5000 THEN 1 ELSE 0 END, w.used + CASE WHEN w.k < 20 AND w.used + c.tokens <= 5000 THEN c.tokens ELSE 0 END, w.k < 20 AND w.used + c.tokens <= 5000 FROM w JOIN c ON c.user_id = w.user_id AND c.n = w.n + 1)
+SELECT user_id, count(*) FILTER (ok) AS granted, count(*) FILTER (NOT ok) AS refused, (SELECT count(*) * 6 FROM c) AS requests FROM w GROUP BY user_id"""
+
+
+def metrics_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = metrics.grouped(_predictions(spark, sf_dir), "group_id").select(F.coalesce("key", F.lit("all")).alias("key"), "tp", "fp", "recall")
+    saved = now.where("key <> 'src3'").withColumn("tp", F.when(F.col("key") == "src5", F.col("tp") + 1).otherwise(F.col("tp")))
+    return metrics.recheck(saved, now, ["key"])
+
+
+METRICS_RECHECK = f"""
+WITH {_PREDICTIONS}, g AS (SELECT source, count(*) FILTER (gold = 'INCONSISTENT') > 0 AS has FROM p GROUP BY source)
+SELECT 'src5' AS key, 'tp' AS metric FROM g WHERE source = 'src5' UNION ALL SELECT 'src3', m FROM g, (VALUES ('tp'), ('fp'), ('recall')) v(m) WHERE source = 'src3' AND (m <> 'recall' OR has)"""
+
+
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    runs = read(spark, sf_dir, "orders").select(k, F.sha1(k.cast("string").cast("binary")).alias("head_sha"), F.when(F.col("o_orderstatus") == "P", "PARTIAL").otherwise("COMPLETED").alias("status"), F.when(k % 3 == 0, F.concat(F.lit("p"), k.cast("string"))).alias("patch_id"), F.when(k % 6 == 0, "COMPLETED").alias("rescan_status"))
+    return viewer.history(runs, ["o_orderkey"])
+
+
+RUN_HISTORY = """
+SELECT o_orderkey, 1 AS step, 'snapshot' AS event, sha1(o_orderkey::VARCHAR) AS detail FROM orders UNION ALL SELECT o_orderkey, 2, 'scan', CASE WHEN o_orderstatus = 'P' THEN 'PARTIAL' ELSE 'COMPLETED' END FROM orders
+UNION ALL SELECT o_orderkey, 3, 'patch', 'p' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 4, 'rescan', 'COMPLETED' FROM orders WHERE o_orderkey % 6 = 0"""
+
+
+def closure_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("confirmed"), F.count_if((F.col("event_type") == "view") & (F.col("value") > 60)).alias("uncertain"))
+    runs = e.select("user_id", F.struct("confirmed", "uncertain", F.lit(0).cast("long").alias("unverified"), F.when(F.col("user_id") % 7 == 0, "PARTIAL").otherwise("COMPLETED").alias("status")).alias("after"))
+    runs = runs.withColumn("after", F.col("after").withField("confirmed", F.when(F.col("user_id") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("after.confirmed"))).withField("uncertain", F.when(F.col("user_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("after.uncertain"))))
+    return runs.select("user_id", viewer.closed(F.col("user_id") % 5 != 0, "after").alias("closed"))
+
+
+CLOSURE_CHECK = """
+SELECT user_id, user_id % 5 <> 0 AND user_id % 7 <> 0 AND (user_id % 2 = 0 OR count(*) FILTER (event_type = 'error') = 0) AND (user_id % 3 = 0 OR count(*) FILTER (event_type = 'view' AND value > 60) = 0) AS closed FROM events GROUP BY user_id"""
+
+
+_ALL: list = [stable_ids, snapshot_admit, snapshot_filter, snapshot_diff, snapshot_hash, line_offsets, heading_context, asof_binding, align_candidates, align_property_only, ignore_rules, run_status, report_counts, integrity_violations, metrics_overall, metrics_grouped, metrics_violations, split_leakage, ownership_overlap, scope_containment, keyword_baseline, recall_at_k, review_diff, review_fields, dev_overlap, method_comparison, viewer_records, viewer_page, viewer_latest, viewer_upsert, viewer_tree, report_compare, notice_lines, text_helpers, diff_lines, snippet_lines, signature_lookup, source_cap, request_budget, metrics_recheck, run_history, closure_check]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}
