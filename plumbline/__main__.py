@@ -46,7 +46,7 @@ def _files(spark: SparkSession, a: argparse.Namespace):
     return source_files(files).where("content IS NOT NULL").select("repo_id", "head_sha", "path", "content")
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="plumbline", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("scan", "patch", "schema"):
@@ -57,14 +57,14 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--config")
         c.add_argument("--out", required=name != "schema")
     commands.add_parser("doctor")
-    a = parser.parse_args(argv)
+    a = parser.parse_args(arguments)
     if a.command == "doctor":
         found = doctor()
         print("\n".join(f"{c['status']} {c['check']}: {c['found']}" for c in found))
         return int(any(c["status"] == "ERROR" for c in found))
     try:
         out = Path(a.out) if a.out else None
-        if out and out.exists() and any(out.iterdir()):
+        if out and out.is_dir() and list(out.iterdir()):
             raise SourceError("OUTPUT_EXISTS", str(out))
         spark = _session()
         config = load_config(a.config, datetime.now(timezone.utc).date())

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SKIPPED_PARTS = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".tox")
+SKIPPED_PARTS = tuple("build dist node_modules venv .venv .tox .svn .hg .git __pycache__".split())
 
 
 def glob_regex(pattern: str) -> str:

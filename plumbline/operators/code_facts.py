@@ -10,6 +10,7 @@ import ast
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Any
 
 from plumbline.functions.ids import Blob, stable_id
@@ -140,9 +141,10 @@ def literal_return(node: ast.AST, scope: Scope) -> Any:
     """What a function returns that takes nothing and only returns a literal."""
     a = getattr(node, "args", None)
     plain = isinstance(node, ast.FunctionDef) and not node.decorator_list and not (a.posonlyargs or a.args or a.kwonlyargs or a.vararg or a.kwarg)
-    if not plain or len(node.body) != 1 or not isinstance(node.body[0], ast.Return):
-        return UNKNOWN
-    return Folder(scope)(node.body[0].value)
+    match node.body if plain else None:
+        case [ast.Return(value=returned)]:
+            return Folder(scope)(returned)
+    return UNKNOWN
 
 
 def root_name(node: ast.AST) -> str | None:
@@ -176,10 +178,10 @@ Leaves = dict[tuple[str, ...], Leaf]
 
 def leaves_of(node: ast.expr, fold: Folder, at: tuple[str, ...] = ()) -> Leaves:
     """Values under string keys, by key path. A dynamic entry makes the values before it unknown, a repeated key its own."""
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "dict":
-        if node.args or not fold.scope.dict_is_builtin or any(k.arg is None for k in node.keywords):
-            return {}
-        return {(*at, k.arg): Leaf(k.value, fold(k.value)) for k in node.keywords}
+    match node:
+        case ast.Call(func=ast.Name(id="dict"), args=positional, keywords=named):
+            explicit = fold.scope.dict_is_builtin and not positional and None not in {k.arg for k in named}
+            return {(*at, k.arg): Leaf(k.value, fold(k.value)) for k in named} if explicit else {}
     if not isinstance(node, ast.Dict):
         return {at: Leaf(node, fold(node))}
     out: Leaves = {}
@@ -202,9 +204,9 @@ def leaves_of(node: ast.expr, fold: Folder, at: tuple[str, ...] = ()) -> Leaves:
     return out
 
 
-def blur(leaves: Leaves) -> None:
-    for leaf in leaves.values():
-        leaf.value = UNKNOWN
+def blur(found: Leaves) -> None:
+    for path in found:
+        found[path].value = UNKNOWN
 
 
 class Module:
@@ -258,8 +260,8 @@ class Module:
 
     def _update(self, name: str, call: ast.Call) -> None:
         fold, new = Folder(self.scope), None
-        if len(call.args) == 1 and not call.keywords:
-            new = call.args[0]
+        if not call.keywords and len(call.args) == 1:
+            (new,) = call.args
         elif not call.args and all(k.arg is not None for k in call.keywords):
             new = ast.Dict([ast.Constant(k.arg) for k in call.keywords], [k.value for k in call.keywords])
         old, value = self.scope.values.get(name, UNKNOWN), fold(new)
@@ -290,9 +292,7 @@ class Reader:
         self.imports: list[dict] = []
         self.diagnostics: list[dict] = []
         self.module = path.removesuffix(".py").replace("/", ".").removesuffix(".__init__")
-        self.line_starts = [0]
-        for line in data.splitlines(keepends=True):
-            self.line_starts.append(self.line_starts[-1] + len(line))
+        self.line_starts = [0, *accumulate(map(len, data.splitlines(keepends=True)))]
         try:
             tree = ast.parse(data.decode(), filename=path)
             state = Module(tree)
@@ -304,7 +304,7 @@ class Reader:
         self.read_imports(tree)
 
     def note(self, code: str, message: str) -> None:
-        self.diagnostics.append({"repo_id": self.repo_id, "code": code, "message": message, "stage": "extraction", "path": self.blob.path, "retryable": False, "affects_completeness": True})
+        self.diagnostics.append({"repo_id": self.repo_id, "path": self.blob.path, "stage": "extraction", "message": message, "code": code, "affects_completeness": True, "retryable": False})
 
     def place(self, node: ast.AST) -> tuple[int, int]:
         start = self.line_starts[node.lineno - 1] + node.col_offset
@@ -315,7 +315,7 @@ class Reader:
         return self.blob.data[a:b].decode()
 
     def add_fact(self, **columns: Any) -> None:
-        blank = {"typed_value": None, "fact_kind": "DEFAULT_VALUE", "parameters": [], "receiver": "none", "provenance": []}
+        blank = {"parameters": [], "provenance": [], "receiver": "none", "typed_value": None, "fact_kind": "DEFAULT_VALUE"}
         self.facts.append(blank | {"repo_id": self.repo_id, "seq": len(self.facts)} | columns)
 
     def read_body(self, body: list[ast.stmt], owners: tuple[str, ...], safe: bool, state: Module, scope: Scope) -> None:
@@ -358,7 +358,7 @@ class Reader:
         kind = "method" if owners else "async_function" if isinstance(f, ast.AsyncFunctionDef) else "function"
         self.entities.append({"repo_id": self.repo_id, "entity_id": entity, "kind": kind, "qualified_name": name, "module": self.module, "signature": parameters, "decorators": decorators, "span": span})
         receiver = "class" if "classmethod" in decorators else "instance" if owners and "staticmethod" not in decorators else "none"
-        self.add_fact(fact_id=stable_id("signature", entity, self.blob.hash), entity_id=entity, subject=name, property="__signature__", value_state="KNOWN" if safe else "UNKNOWN", expression=self.blob.data[start:end].decode(), span=span, fact_kind="SIGNATURE", parameters=parameters, receiver=receiver)
+        self.add_fact(fact_id=stable_id("signature", entity, self.blob.hash), entity_id=entity, value_state="KNOWN" if safe else "UNKNOWN", parameters=parameters, receiver=receiver, property="__signature__", subject=name, fact_kind="SIGNATURE", span=span, expression=self.blob.data[start:end].decode())
 
     @staticmethod
     def _parameters(f: ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[tuple[ast.arg, str, ast.expr | None]]:

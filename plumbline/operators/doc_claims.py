@@ -13,20 +13,21 @@ from plumbline.operators.blocks import Block, blocks
 
 NAME = r"[A-Za-z_]\w*"
 DOTTED = rf"{NAME}(?:\.{NAME})*"
-NUMBER = r"[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?"
+NUMBER = r"[-+]?[0-9]+(?:[.][0-9]+)?(?:e[-+]?[0-9]+)?"
+SINGLE, DOUBLE, TICKED = (rf"[^{q}\r\n]" for q in ("'", '"', "`"))
 HEDGE = r"(?:(?:usually|sometimes|通常|可能)\s*)?"
 SAYS = r"(?:default(?:\s+value)?\s*[:=]|default(?:\s+value)?\s*is|defaults?\s+to|默认值?[为是]?)"
-STATED = rf"\s*(?:`(?P<quoted>[^`\r\n]+)`|(?P<bare>None|True|False|{NUMBER}|'[^'\r\n]*'|\"[^\"\r\n]*\"))"
+STATED = rf"\s*(?:`(?P<quoted>{TICKED}+)`|(?P<bare>{NUMBER}|None|False|True|'{SINGLE}*'|\"{DOUBLE}*\"))"
 PROSE = [
     re.compile(rf"`?(?P<name>{NAME})`?\s*(?:的\s*)?{HEDGE}{SAYS}{STATED}", re.I),
-    re.compile(rf"(?:the\s+)?default\s+value\s+of\s+`?(?P<name>{NAME})`?\s*(?:[:=]|is){STATED}", re.I),
+    re.compile(rf"default\s+value\s+of\s+`?(?P<name>{NAME})`?\s*(?:[:=]|is){STATED}", re.I),
 ]
 RUNS_ON = re.compile(r"\w|\.\w")
-PAST = re.compile("|".join(["旧版", "历史", "迁移", "反例", "错误示例", "legacy", "historical", "migration", "invalid example", r"old(?:er)? version", r"\bv\d+(?:\.\d+)*\b"]), re.I)
+PAST = re.compile("|".join(["旧版", "历史", "迁移", "反例", "错误示例", "legacy", "historical", "migration", "invalid example", r"old(?:er)? version", r"\bv[\d]+(?:[.]\d+)*\b"]), re.I)
 HEDGED = re.compile("|".join(["通常", "可能", "如果", "当.+时", "usually", "sometimes", "depending", r"\bif\b"]), re.I)
-SETTINGS = re.compile(r"配置|\bconfig(?:uration)?\b", re.I)
+SETTINGS = re.compile(r"\b(?:config|configuration)\b|配置", re.I)
 NAME_LABELS = {"name", "key", "param", "parameter", "参数", "配置项"}
-VALUE_LABELS = {"default", "default value", "默认", "默认值"}
+VALUE_LABELS = {"默认值", "默认", "default value", "default"}
 
 
 def subject_in(text: str) -> str:
@@ -41,11 +42,12 @@ def subject_in(text: str) -> str:
 
 def linked_source(text: str, document: str) -> str | None:
     """The one Python file that a text links to, as a path in the repository."""
-    targets = set(re.findall(r"\]\(([^()\s]+\.py)(?:#[^()]*)?\)", text))
+    targets = set(re.findall(r"\]\(([^\s()]+[.]py)(?:[#][^)(]*)?\)", text))
     if len(targets) != 1 or ":" in (target := targets.pop()):
         return None
-    path = posixpath.normpath(posixpath.join(posixpath.dirname(document), target))
-    return None if path.startswith(("../", "/")) else path
+    folder = posixpath.dirname(document)
+    path = posixpath.normpath(f"{folder}/{target}" if folder and not target.startswith("/") else target)
+    return None if path[:1] == "/" or path[:3] == "../" else path
 
 
 class Document:
@@ -80,7 +82,7 @@ class Document:
                     self.read_example(b)
 
     def note(self, code: str, message: str, affects: bool) -> None:
-        self.diagnostics.append({"repo_id": self.repo_id, "code": code, "message": message, "stage": "extraction", "path": self.blob.path, "retryable": False, "affects_completeness": affects})
+        self.diagnostics.append({"repo_id": self.repo_id, "path": self.blob.path, "stage": "extraction", "message": message, "code": code, "affects_completeness": affects, "retryable": False})
 
     def _follow_headings(self, heads: dict[int, Block]) -> None:
         above: list[Block] = []
@@ -125,7 +127,7 @@ class Document:
                 self.add_value(number, subject_in(line[: m.start()]) or self.subject[number], m["name"], m.start(part), m.end(part), "prose/1")
 
     @staticmethod
-    def cells(line: str) -> list[tuple[str, int]]:
+    def cells(line: str) -> list:
         """Text and place of each filled cell; none if a bar is escaped."""
         return [] if r"\|" in line else [(m[0].strip(), m.start()) for m in re.finditer(r"[^\r\n|]+", line) if m[0].strip()]
 

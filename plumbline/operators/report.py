@@ -13,7 +13,7 @@ from plumbline.operators import metrics
 from plumbline.operators.ignore import status_text
 from plumbline.sources.git import SourceError
 
-TABLES = ("entities", "facts", "claims", "candidates", "judgments", "findings", "rejected", "diagnostics")
+TABLES = tuple("candidates claims diagnostics entities facts findings judgments rejected".split())
 
 
 def summary(report) -> DataFrame:

@@ -49,7 +49,8 @@ def keyword_pairs(code: DataFrame, docs: DataFrame, key: str, code_text: str, do
     """key, prediction of a baseline without syntax: name = value in code against names with stated values in documents."""
     assigned = code.select(key, F.explode(F.regexp_extract_all(F.col(code_text), F.lit(r"\b[A-Za-z_]\w*\s*=\s*[^,)\n#]+"), F.lit(0))).alias("m"))
     assigned = assigned.select(key, F.lower(F.regexp_extract("m", r"^([A-Za-z_]\w*)", 1)).alias("name"), F.trim(F.regexp_extract("m", r"(?s)=\s*(.*)$", 1)).alias("value"))
-    said = docs.select(key, F.explode(F.regexp_extract_all(F.col(doc_text), F.lit(r"(?i)\b[A-Za-z_]\w*`?\s*(?:defaults?\s+to|默认值?为|=)\s*`?[^`\s。;,)]+"), F.lit(0))).alias("m"))
-    said = said.select(key, F.lower(F.regexp_extract("m", r"^([A-Za-z_]\w*)", 1)).alias("name"), F.rtrim(F.regexp_extract("m", r"(?i)(?:defaults?\s+to|默认值?为|=)\s*`?([^`\s。;,)]+)$", 1), F.lit(".")).alias("stated"))
+    says, stated = r"\s*(?:=|默认值?为|defaults?\s+to)\s*`?", r"[^\s`,;。)]+"
+    said = docs.select(key, F.explode(F.regexp_extract_all(F.col(doc_text), F.lit(rf"(?i)\b[A-Za-z_]\w*`?{says}{stated}"), F.lit(0))).alias("m"))
+    said = said.select(key, F.lower(F.regexp_extract("m", r"^([A-Za-z_]\w*)", 1)).alias("name"), F.rtrim(F.regexp_extract("m", rf"(?i){says}({stated})$", 1), F.lit(".")).alias("stated"))
     differs = said.join(assigned, [key, "name"]).groupBy(key).agg(F.bool_or(F.col("stated") != F.col("value")).alias("differs"))
     return docs.select(key).distinct().join(differs, key, "left").select(key, F.when(F.col("differs").isNull(), "SKIPPED").when(F.col("differs"), "INCONSISTENT").otherwise("CONSISTENT").alias("prediction"))

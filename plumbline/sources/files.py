@@ -16,7 +16,7 @@ from plumbline.operators.ignore import Rule
 from plumbline.plans.scan import Config
 from plumbline.sources.git import SourceError
 
-PREDICTIONS = T.StructType([T.StructField(n, T.StringType()) for n in ("sample_id", "gold", "prediction", "status", "drift_type", "group_id", "method")])
+PREDICTIONS = T.StructType([T.StructField(n, T.StringType()) for n in ("sample_id", "group_id", "method", "drift_type", "gold", "prediction", "status")])
 SAMPLES = T.StructType([*(T.StructField(n, T.StringType()) for n in ("sample_id", "repo_id", "repo_path", "head_sha", "document_path", "code_path", "group_id", "split", "origin", "gold", "drift_type", "rights_status", "annotation_status")), T.StructField("claim_line", T.IntegerType())])
 
 

@@ -39,7 +39,7 @@ def resolve_ref(repo: str, ref: str) -> str:
     if not ref or ref.startswith("-") or "\0" in ref:
         raise SourceError("MISSING_REF", repr(ref))
     try:
-        return run_git(repo, "rev-parse", "--verify", "--end-of-options", f"{ref}^{{commit}}").decode().strip()
+        return run_git(repo, "rev-parse", "--quiet", "--verify", f"{ref}^{{commit}}").decode().strip()
     except SourceError as e:
         raise SourceError("MISSING_REF", ref) from e
 
@@ -49,14 +49,14 @@ def is_dirty(repo: str) -> bool:
 
 
 def changed_paths(repo: str, base: str, head: str) -> list[str]:
-    out = run_git(repo, "diff", "--name-only", "-z", resolve_ref(repo, base), resolve_ref(repo, head))
+    out = run_git(repo, "diff", "-z", "--name-only", resolve_ref(repo, base), resolve_ref(repo, head))
     return sorted(p.decode() for p in out.split(b"\0") if p)
 
 
 def list_tree(repo: str, sha: str) -> list[tuple[str, str, str, int]]:
     """path, mode, object id, size of all files of a commit."""
     rows = []
-    for line in run_git(repo, "ls-tree", "-r", "-z", "-l", sha).split(b"\0"):
+    for line in run_git(repo, "ls-tree", "-lrz", sha).split(b"\0"):
         head, tab, path = line.partition(b"\t")
         if tab:
             mode, kind, oid, size = head.decode().split()
@@ -123,7 +123,7 @@ def read_repository(spark: SparkSession, repo: str, ref: str = "HEAD", repo_id:
 def read_working_tree(spark: SparkSession, repo: str, repo_id: str = "working-tree") -> DataFrame:
     """files of the tracked and the new unignored paths as they lie on disk."""
     sha = resolve_ref(repo, "HEAD")
-    paths = sorted(p.decode() for p in run_git(repo, "ls-files", "-z", "--cached", "--others", "--exclude-standard").split(b"\0") if p)
+    paths = sorted(p.decode() for p in run_git(repo, "ls-files", "--exclude-standard", "--others", "--cached", "-z").split(b"\0") if p)
     root = repo.rstrip("/")
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     on_disk = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")

@@ -13,12 +13,10 @@ def run(spark, table):
 
 
 def test_calls_bind_like_real_calls(spark):
-    table = [
-        ("def f(x): pass", "f()", "INCONSISTENT"), ("def f(x=1): pass", "f()", "CONSISTENT"), ("def f(x=1): pass", "f(y=2)", "INCONSISTENT"),
-        ("def f(x=1, **kwargs): pass", "f(y=2)", "CONSISTENT"), ("def f(x, /): pass", "f(x=1)", "INCONSISTENT"), ("def f(x, /, **kwargs): pass", "f(1, x=2)", "CONSISTENT"),
-        ("def f(*, x): pass", "f(1)", "INCONSISTENT"), ("def f(*args, **kwargs): pass", "f(1, a=2)", "CONSISTENT"), ("def f(x=1): pass", "f(1, x=2)", "INCONSISTENT"),
-        ("def f(x): pass", "f(*args)", "UNCERTAIN"), ("@wrapped\ndef f(x): pass", "f()", "UNCERTAIN"), ("def f(x): pass\nf = replacement", "f()", "UNCERTAIN"),
-    ]
+    bad, good, open_ = "INCONSISTENT", "CONSISTENT", "UNCERTAIN"
+    signatures = {"x": [("", bad), ("*args", open_)], "x=1": [("", good), ("y=2", bad), ("1, x=2", bad)], "x=1, **kwargs": [("y=2", good)], "x, /": [("x=1", bad)], "x, /, **kwargs": [("1, x=2", good)], "*, x": [("1", bad)], "*args, **kwargs": [("1, a=2", good)]}
+    table = [(f"def f({signature}): pass", f"f({call})", want) for signature, calls in signatures.items() for call, want in calls]
+    table += [("@wrapped\ndef f(x): pass", "f()", open_), ("def f(x): pass\nf = replacement", "f()", open_)]
     run(spark, [({"m.py": code + "\n", "d.md": example(call)}, want) for code, call, want in table])
 
 
@@ -104,11 +102,18 @@ def test_ownership(spark):
     run(spark, table)
 
 
+TIMEOUT = {"settings.py": "TIMEOUT = 60\n"}
+
+
+def tabled(value: int) -> str:
+    return f"## `connect`\n\n| Param | Default value |\n|:--|--:|\n| timeout | {value} |\n"
+
+
 SEEDS = [
     (C60, states("30"), "INCONSISTENT"), (C60, states("60"), "CONSISTENT"), ("def connect(timeout=True): return timeout", states("1"), "INCONSISTENT"), ("def connect(timeout=factory()): return timeout", states("30"), "INSUFFICIENT"),
-    (C60, states("30", "旧版"), "INSUFFICIENT"), ({"client.py": C60, "other.py": C60}, states("30"), "INSUFFICIENT"), (C60, "## `connect`\n\n| parameter | default |\n|---|---|\n| timeout | 30 |\n", "INCONSISTENT"),
-    (C60, "## `connect`\n\n| parameter | default |\n|---|---|\n| timeout | 60 |\n", "CONSISTENT"), ({"client.py": C60, "other.py": "def connect(timeout=30): return timeout\n"}, states("30", "[connect](client.py)"), "INCONSISTENT"),
-    ({"settings.py": "TIMEOUT = 60\n"}, "## 配置 `settings`\n\n`TIMEOUT` 默认值为 `30`。\n", "INCONSISTENT"), ({"settings.py": "TIMEOUT = 60\n"}, "## 配置 `settings`\n\n`TIMEOUT` 默认值为 `60`。\n", "CONSISTENT"),
+    (C60, states("30", "旧版"), "INSUFFICIENT"), ({"client.py": C60, "other.py": C60}, states("30"), "INSUFFICIENT"), (C60, tabled(30), "INCONSISTENT"),
+    (C60, tabled(60), "CONSISTENT"), ({"client.py": C60, "other.py": "def connect(timeout=30): return timeout\n"}, states("30", "[connect](client.py)"), "INCONSISTENT"),
+    (TIMEOUT, states("30", "配置 `settings`").replace("timeout", "TIMEOUT"), "INCONSISTENT"), (TIMEOUT, states("60", "配置 `settings`").replace("timeout", "TIMEOUT"), "CONSISTENT"),
     ({"settings.py": "CONFIG = {'timeout': 60}\n"}, states("30", "`settings.CONFIG`"), "INCONSISTENT"), ({"settings.py": "CONFIG = {'timeout': env()}\n"}, states("30", "`settings.CONFIG`"), "INSUFFICIENT"),
     ("def connect(host): return host", example("connect()"), "INCONSISTENT"), (C60, example("connect(host='local')"), "INCONSISTENT"), ("def connect(**kwargs): return kwargs", example("connect(host='local')"), "CONSISTENT"),
     ("def connect(host, /): return host", example("connect(host='local')"), "INCONSISTENT"), ("def connect(*, host): return host", example("connect()"), "INCONSISTENT"), ("def connect(timeout=60, retries=3): return timeout", example("connect(timeout=30)"), "CONSISTENT"),
