@@ -13,7 +13,8 @@ REPOS = 8
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("size"), F.col("p_brand").alias("brand"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("size"), F.col("p_brand").alias("brand"))
+    return rows.repartition(spark.sparkContext.defaultParallelism, "k")  # three short columns, before each row becomes files to parse
 
 
 def _k() -> Column:
