@@ -461,10 +461,10 @@ SELECT o_orderkey AS entity_id, o_orderstatus, (SELECT arg_min(l_partkey, row(l_
 
 
 def source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.over_cap(read(spark, sf_dir, "documents").where("lang = 'en'"), "source", 20)
+    return metrics.over_cap(read(spark, sf_dir, "documents").where("lang = 'en'"), "source", 4)
 
 
-SOURCE_CAP = "SELECT source, count(*) AS samples FROM documents WHERE lang = 'en' GROUP BY source HAVING count(*) > 20"
+SOURCE_CAP = "SELECT source, count(*) AS samples FROM documents WHERE lang = 'en' GROUP BY source HAVING count(*) > 4"
 
 
 def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
