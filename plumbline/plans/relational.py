@@ -468,7 +468,7 @@ SOURCE_CAP = "SELECT source, count(*) AS samples FROM documents WHERE lang = 'en
 
 
 def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = read(spark, sf_dir, "events").where("event_id < 200 * 150 AND user_id < 100").select("user_id", "event_id", (F.col("value") * 10).cast("long").alias("tokens"))
+    calls = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") * 10).cast("long").alias("tokens"))
     granted = metrics.reserve(calls, ["user_id"], "event_id", "tokens", 20, 5_000)
     return granted.groupBy("user_id").agg(F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("refused")).crossJoin(metrics.request_bound(calls, 2, 3))
 
