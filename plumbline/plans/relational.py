@@ -116,7 +116,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     facts = p.select(F.lit("r").alias("repo_id"), F.concat(F.lit("f"), F.lpad(k, 9, "0")).alias("fact_id"), F.concat_ws(".", F.concat(F.lit("m"), (F.col("p_partkey") % 97).cast("string")), name).alias("subject"), F.col("p_type").alias("property"), F.struct(F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string")).alias("path")).alias("span"), F.col("p_partkey").cast("int").alias("seq"))
     subject = F.when(F.col("p_partkey") % 3 == 0, name).when(F.col("p_partkey") % 3 == 1, F.substring_index(name, ".", -1)).otherwise(F.concat_ws(".", F.concat(F.lit("m"), (F.col("p_partkey") % 97).cast("string")), name))
     subject = F.when(F.col("p_partkey") % 41 == 0, "").otherwise(subject)
-    claims = p.where("p_partkey % 10 = 0").select(F.lit("r").alias("repo_id"), k.alias("claim_id"), subject.alias("subject"), F.col("p_type").alias("predicate"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string"))).alias("source_hint"))
+    claims = p.select(F.lit("r").alias("repo_id"), k.alias("claim_id"), subject.alias("subject"), F.col("p_type").alias("predicate"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string"))).alias("source_hint"))
     return claims, facts
 
 

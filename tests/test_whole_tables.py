@@ -16,3 +16,37 @@ def test_request_budget_takes_every_event(spark, tmp_path):
                 refused += 1
         want[user] = (n, refused, 160 * 6)
     assert {r.user_id: (r.granted, r.refused, r.requests) for r in relational.request_budget(spark, str(tmp_path)).collect()} == want
+
+
+def parts(spark, folder):
+    rows = [(i, f"{('cold', 'small', 'large')[i % 3]} {('ring', 'widget')[i % 2]}", ("ECONOMY", "LARGE")[i % 4 // 2], i % 7 + 1, float(i * 31 % 50)) for i in range(1, 121)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+    return rows
+
+
+def symbols(rows):
+    """Facts (id, subject, property, path, number) and claims (id, subject, property, hint)."""
+    facts = [(f"f{k:09d}", f"m{k % 97}.{name.replace(' ', '.')}", kind, f"s{size % 3}", k) for k, name, kind, size, _ in rows]
+    claims = []
+    for k, name, kind, size, _ in rows:
+        dotted = name.replace(" ", ".")
+        subject = "" if k % 41 == 0 else (dotted, dotted.split(".")[-1], f"m{k % 97}.{dotted}")[k % 3]
+        claims.append((str(k), subject, kind, f"s{size % 3}" if k % 4 == 0 else None))
+    return facts, claims
+
+
+def test_alignment_claims_every_part(spark, tmp_path):
+    facts, claims = symbols(parts(spark, tmp_path))
+    want = []
+    for claim, subject, kind, hint in claims:
+        near = [f for f in facts if f[2] == kind and subject and (f[1] == subject or f[1].endswith("." + subject))]
+        near = [f for f in near if f[1] == subject] or near
+        ids = sorted(f[0] for f in near if hint in (None, f[3]))
+        reason = "AMBIGUOUS" if len(ids) > 1 else "MATCH" if ids else "NO_CANDIDATE"
+        want += [(claim, f, i + 1, len(ids), reason) for i, f in enumerate(ids[:3] or [None])]
+    got = [tuple(r) for r in relational.align_candidates(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r[0] for r in got} == {str(k) for k in range(1, 121)}
+    assert {r[4] for r in got} == {"AMBIGUOUS", "MATCH", "NO_CANDIDATE"}
+    first = {kind: sorted((f[3], f[4], f[0]) for f in facts if f[2] == kind)[:3] for kind in ("ECONOMY", "LARGE")}
+    want = [(claim, f, i + 1) for claim, _, kind, _ in claims for i, (_, _, f) in enumerate(first[kind])]
+    assert sorted(tuple(r) for r in relational.align_property_only(spark, str(tmp_path)).collect()) == sorted(want)
