@@ -50,3 +50,13 @@ def test_alignment_claims_every_part(spark, tmp_path):
     first = {kind: sorted((f[3], f[4], f[0]) for f in facts if f[2] == kind)[:3] for kind in ("ECONOMY", "LARGE")}
     want = [(claim, f, i + 1) for claim, _, kind, _ in claims for i, (_, _, f) in enumerate(first[kind])]
     assert sorted(tuple(r) for r in relational.align_property_only(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_recall_scores_every_part(spark, tmp_path):
+    rows = parts(spark, tmp_path)
+    ranks = []
+    for k, _, kind, size, price in rows:
+        if k % 30:
+            ranks.append(1 + sum((p, x) < (price, k) for x, _, t, s, p in rows if (t, s) == (kind, size)))
+    want = {k: (sum(r <= k for r in ranks), 120, round(sum(r <= k for r in ranks) / 120, 9)) for k in (1, 3, 5, 10)}
+    assert {r.k: (r.hits, r.targets, r.recall) for r in relational.recall_at_k(spark, str(tmp_path)).collect()} == want
