@@ -134,7 +134,11 @@ def deduplicate(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str
 
     Rows without an id can't be chosen by it: they all stay.
     """
-    found = near_duplicates(docs, words, distance, id_col, text_col)
+    return keep_first(docs, near_duplicates(docs, words, distance, id_col, text_col), id_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the component_id that found gives it; of repeated rows of one id one stays, rows without an id all."""
     kept = spool(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")), "kept")
     # the list of ids grows with the documents: the join is shuffled at every size, without sorting the texts
     out = docs.join(kept.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
