@@ -87,18 +87,23 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
 
 
 def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]], piece_chars: int = 4_000_000) -> DataFrame:
-    """The rows of df, all columns as they are, for whose text make()(texts) is true; nothing is shuffled."""
+    """The rows of df, all columns as they are, for whose text make()(texts) is true; nothing is shuffled.
+
+    A text column of another type is read as its cast to string.
+    """
     ship(df.sparkSession)
-    place = df.columns.index(text_col)
+    width = len(df.columns)
+    typed = isinstance(df.schema[text_col].dataType, T.StringType)
+    place = df.columns.index(text_col) if typed else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for a, b in groups(batch.column(place), piece_chars):
                 part = batch.slice(a, b - a)
-                yield part.filter(pa.array(work(texts_of(part.column(place))), pa.bool_()))
+                yield part.select(range(width)).filter(pa.array(work(texts_of(part.column(place))), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return (df if typed else df.select("*", F.col(text_col).cast("string").alias("text as string"))).mapInArrow(run, df.schema)
 
 
 def groups(column: pa.Array, piece_chars: int) -> Iterator[tuple[int, int]]:

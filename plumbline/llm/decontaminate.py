@@ -3,6 +3,10 @@
 A walk over words repeats or advances at each step by a random bit of the word it stands on; so edits between two texts
 become few differing steps. Windows as long as the items, started at a stride, and the items' own suffixes from every place
 that a window may start at are embedded by the same walks. Sampled steps form keys; equal keys are verified by exact edit distance.
+
+A long item is retrieved by any of its segments: of equal segments one has no more than its share of the edits, so every item is
+searched for as a short one is. Items so short that no edit is allowed are looked up by the hash of all their words.
+Windows start anew in each text and end with it, so what is found in a text depends on nothing but the text and the items.
 """
 
 from __future__ import annotations
@@ -20,14 +24,22 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import groups, keep_rows, ship, texts_of
 
+#: Windows that are embedded at once, which bounds the work space for long texts.
+WINDOWS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Search:
-    """error: edits (of words) allowed for each word of an item. walks * tables keys of `sample` steps are tried for each window."""
+    """error: edits (of words) allowed for each word of an item. walks * tables keys of `sample` steps are tried for each window.
+
+    segment: words of the longest item that is searched for in one; longer ones are cut into equal segments.
+    """
 
     error: float = 0.1
     walks: int = 2
     tables: int = 3
     sample: int = 5
+    segment: int = 60
     ratio: float = 1.5  # of the longest to the shortest item that share windows
     block: int = 20_000  # items searched for at once; more are searched in several passes
     seed: int = 11
@@ -43,6 +55,7 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 class WordHashes:
     """Lower-case words, runs of word characters, as 64-bit hashes; vectorised over a whole text."""
 
+    PIECE = 1 << 20
     letters: np.ndarray | None = None
     base = 0x9E3779B97F4A7C15
     powers = inverse = np.ones(1, np.uint64)
@@ -59,9 +72,17 @@ class WordHashes:
             for name, base in (("powers", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
                 setattr(WordHashes, name, np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]), dtype=np.uint64))
 
-    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, start and end (in characters of text.lower()) of each word."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _pieces(self, low: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and code points of the pieces of a text, which are cut between words and hold about PIECE characters."""
+        at = 0
+        while at < len(low):
+            end = min(at + self.PIECE, len(low))
+            while end < len(low) and self.letters[ord(low[end - 1])] and self.letters[ord(low[end])]:
+                end += 1
+            yield at, np.frombuffer(low[at:end].encode("utf-32-le", "surrogatepass"), np.uint32)
+            at = end
+
+    def _hashed(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         word = np.zeros(len(codes) + 2, np.int8)
         word[1:-1] = self.letters[codes]
         edges = np.flatnonzero(word[1:] != word[:-1])
@@ -71,13 +92,21 @@ class WordHashes:
         np.cumsum((codes + np.uint32(1)) * self.powers[: len(codes)], dtype=np.uint64, out=sums[1:])
         return mix((sums[ends] - sums[starts]) * self.inverse[starts], 77), starts, ends
 
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end (in characters of text.lower()) of each word."""
+        parts = [(h, at + a, at + b) for at, codes in self._pieces(text.lower()) for h, a, b in [self._hashed(codes)]]
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), none, none)
+
     def __call__(self, text: str) -> np.ndarray:
-        return self.places(text)[0]
+        """The hashes alone: eight bytes a word, and the work space of one piece, are held of a text."""
+        parts = [self._hashed(codes)[0] for _, codes in self._pieces(text.lower())]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 @dataclass
 class Class:
-    """Items of at least least and under ratio * least words: windows start every stride words and walk steps steps."""
+    """Segments of at least least and under ratio * least words: windows start every stride words and walk steps steps."""
 
     least: int
     stride: int
@@ -111,6 +140,12 @@ def padded(x: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([x, np.zeros(n, np.uint64)])
 
 
+def _runs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each low up to its high, one run after another."""
+    n = high - low
+    return np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+
+
 class Index:
     """Keys of all items of a block."""
 
@@ -120,18 +155,27 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [hashes(t) for _, t in items]
         rng = np.random.default_rng(s.seed)
-        by_class: dict[int, list[int]] = {}
+        by_class: dict[int, list[tuple[int, int]]] = {}  # item and first word of each segment
+        exact: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
-            if len(w):
-                least = 1
-                while (up := max(least + 1, int(least * s.ratio))) <= len(w):
-                    least = up
-                by_class.setdefault(least, []).append(i)
+            if not int(s.error * len(w)):
+                exact.setdefault(len(w), []).append(i)
+                continue
+            count = -(-len(w) // s.segment)
+            least = 1
+            while (up := max(least + 1, int(least * s.ratio))) <= len(w) // count:
+                least = up
+            by_class.setdefault(least, []).extend((i, len(w) * k // count) for k in range(count))
+        exact.pop(0, None)
+        self.exact = []
+        for n, members in sorted(exact.items()):
+            k = np.array([self._whole(self.words[i], n)[0] for i in members], np.uint64)
+            order = np.argsort(k, kind="stable")
+            self.exact.append((n, k[order], np.array(members, np.int64)[order]))
         self.classes = []
         for least, members in sorted(by_class.items()):
             stride = max(1, least // 6)
-            offsets = min(3 * stride, max(1, least // 2))
-            offsets = max(stride, offsets)
+            offsets = max(stride, min(3 * stride, max(1, least // 2)))
             steps = max(1, (least - offsets + 1) * 3 // 2)
             edges = np.linspace(0, steps, s.sample + 1)
             picks = np.floor(edges[:-1] + (edges[1:] - edges[:-1]) * rng.random((s.walks, s.tables, s.sample))).astype(np.int64)  # one step of each part of the walk
@@ -139,8 +183,8 @@ class Index:
             for walk in range(s.walks):
                 found: list[list] = [[] for _ in range(s.tables)]
                 place = []
-                for i in members:
-                    starts = np.arange(min(offsets, len(self.words[i])), dtype=np.int32)
+                for i, first in members:
+                    starts = np.arange(first, first + min(offsets, len(self.words[i]) - first), dtype=np.int32)
                     for t, k in enumerate(embed_keys(padded(self.words[i], steps), starts, walk, c, s.seed)):
                         found[t].append(k)
                     place += [(i, int(o)) for o in starts]
@@ -157,24 +201,48 @@ class Index:
                     f[(k >> np.uint64(46)).astype(np.int64)] = True
                     c.filters[walk].append(f)
             self.classes.append(c)
+        self.reach = max([c.steps for c in self.classes] + [n for n, *_ in self.exact], default=0)
         self.patterns = [None] * len(self.words)
 
-    def candidates(self, x: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of its first word) for all windows of x, the padded words of several texts one after another."""
-        out: set[tuple[int, int]] = set()
+    @staticmethod
+    def _whole(x: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each place of x that has so many."""
+        h = np.zeros(max(0, len(x) - n + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n if len(h) else 0):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + len(h)]
+        return mix(h, 23)
+
+    def candidates(self, x: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rows of text, item and place in x of its first word, ascending, for all windows of the texts that x holds with zeros between."""
+        found = [np.zeros((0, 3), np.int64)]
+
+        def take(starts: np.ndarray, text: np.ndarray, known: np.ndarray, owner: np.ndarray, key: np.ndarray) -> None:
+            low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+            hit = low < high
+            if hit.any():
+                n, own = (high - low)[hit], owner[_runs(low[hit], high[hit])]
+                found.append(np.stack([np.repeat(text[hit], n), own[:, 0], np.repeat(starts[hit], n) - own[:, 1]], 1))
+
+        for n, known, members in self.exact:
+            for at in range(0, len(x), WINDOWS):
+                key = self._whole(x[at : at + WINDOWS + n - 1], n)
+                starts = np.flatnonzero(np.isin(key, known)) + at
+                text = np.searchsorted(begins, starts, "right") - 1
+                inside = starts + n <= begins[text] + sizes[text]
+                take(starts[inside], text[inside], known, np.stack([members, np.zeros(len(members), np.int64)], 1), key[starts[inside] - at])
         for c in self.classes:
-            starts = np.arange(0, int(ends[-1]) if len(ends) else 0, c.stride, dtype=np.int32)
-            for walk in range(self.search.walks):
-                for t, key in enumerate(embed_keys(x, starts, walk, c, self.search.seed)):
-                    maybe = np.flatnonzero(c.filters[walk][t][(key >> np.uint64(46)).astype(np.int64)])
-                    if not len(maybe):
-                        continue
-                    known = c.keys[walk][t]
-                    low, high = np.searchsorted(known, key[maybe], "left"), np.searchsorted(known, key[maybe], "right")
-                    for m, a, b in zip(maybe[low < high], low[low < high], high[low < high]):
-                        for item, offset in c.owner[walk][t][a:b]:
-                            out.add((int(item), int(starts[m]) - int(offset)))
-        return out
+            n = -(-sizes // c.stride)
+            every, texts = (np.repeat(begins - np.concatenate([[0], np.cumsum(n)[:-1]]) * c.stride, n) + np.arange(int(n.sum())) * c.stride).astype(np.int32), np.repeat(np.arange(len(n)), n)
+            for at in range(0, len(every), WINDOWS):
+                starts, text = every[at : at + WINDOWS], texts[at : at + WINDOWS]
+                a, b = int(starts[0]), int(starts[-1]) + c.steps + 1
+                for walk in range(self.search.walks):
+                    for t, key in enumerate(embed_keys(x[a:b], starts - np.int32(a), walk, c, self.search.seed)):
+                        maybe = np.flatnonzero(c.filters[walk][t][(key >> np.uint64(46)).astype(np.int64)])
+                        if len(maybe):
+                            take(starts[maybe], text[maybe], c.keys[walk][t], c.owner[walk][t], key[maybe])
+        return np.unique(np.concatenate(found), axis=0)
 
     def distance(self, item: int, region: np.ndarray) -> int:
         """Least edits of words between the item and any stretch of region: bit-parallel, exact."""
@@ -201,25 +269,29 @@ class Index:
         return best
 
     def search_texts(self, lists: list[np.ndarray]) -> list[tuple[int, int, int]]:
-        """(text, item, distance) of every verified pair, each once with its least distance."""
+        """(text, item, distance) of every verified pair, each once with its least distance.
+
+        The places where an item may stand in a text are widened by the edits that are allowed; those that overlap are verified as one.
+        """
         sizes = np.array([len(w) for w in lists], np.int64)
-        reach = max((c.steps for c in self.classes), default=0)
-        ends = np.cumsum(sizes)
-        if not len(ends) or not ends[-1] or not self.classes:
+        if not sizes.sum() or not self.reach:
             return []
-        x = padded(np.concatenate(lists), reach)
+        begins = np.cumsum(sizes + self.reach) - sizes - self.reach
+        gap = np.zeros(self.reach, np.uint64)
+        x = np.concatenate([part for w in lists for part in (w, gap)])
         found: dict[tuple[int, int], int] = {}
-        tried = set()
-        for item, first in self.candidates(x, ends):
+        rows = self.candidates(x, begins, sizes).tolist()
+        at = 0
+        while at < len(rows):
+            text, item, first = rows[at]
             n = len(self.words[item])
             allowed = int(self.search.error * n)
-            # a window may begin in one text and its item's place may fall before it: both texts are looked at, each by itself
-            for text in {int(np.searchsorted(ends, max(0, first), "right")), int(np.searchsorted(ends, min(int(ends[-1]) - 1, max(0, first) + n // 2), "right"))}:
-                a = max(first - allowed, int(ends[text] - sizes[text]))
-                b = min(first + n + allowed + 1, int(ends[text]))
-                if b - a < n - allowed or (text, item, a) in tried:
-                    continue
-                tried.add((text, item, a))
+            at, end = at + 1, first + n + allowed + 1
+            while at < len(rows) and rows[at][:2] == [text, item] and rows[at][2] - allowed <= end:
+                end = rows[at][2] + n + allowed + 1
+                at += 1
+            a, b = max(first - allowed, int(begins[text])), min(end, int(begins[text] + sizes[text]))
+            if b - a >= n - allowed:
                 d = self.distance(item, x[a:b])
                 if d <= allowed and d < found.get((text, item), allowed + 1):
                     found[text, item] = d
@@ -256,8 +328,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), id_
     """id_col, item_col, distance, item_words: each document and item of which it holds a passage within error edits a word.
 
     Words are runs of word characters in lower case. distance is the least number of edits among the passages found. Items
-    without words match nothing; null texts are empty. Repeated rows of docs are reported each; equal items too. The items are read
-    in blocks of a fixed size, each broadcast and searched for in all windows of all documents; no document is cut short.
+    without words match nothing; null texts are empty; an empty table of either kind gives an empty result. Repeated rows of docs, null
+    ids among them, are reported each; equal items too, so there are no ties to break. The items are read in blocks of a fixed size,
+    each broadcast and searched for in all windows of all documents; no document is cut short, and of a long text about 30
+    bytes a word are held. Other columns are left behind, whatever their names. Rows don't depend on how docs is partitioned.
     """
     spark = docs.sparkSession
     ship(spark)
