@@ -1,7 +1,9 @@
 """Licence scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Templates of like length share windows. A window is so long that any run of a template's length lies within one; the number
-of bands follows from the least similarity that such a window has, so that a passage is missed with a stated probability.
+A passage is a run of at most 2 - containment times a template's shingles. Templates of like length share windows. A window is so
+long that any such run lies within one; the number of bands follows from the least similarity that the window then has, so that a
+passage is missed with a stated probability. Windows start anew in each text and end with it, and what they retrieve is verified by
+the best run near them, so the result for a text depends on nothing but the text and the templates.
 """
 
 from __future__ import annotations
@@ -60,17 +62,30 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h, 41)
 
 
-def minima(hashed: np.ndarray, w: Windows) -> np.ndarray:
-    """Least value of each window."""
-    blocks = -(-len(hashed) // w.stride)
-    least = np.full(blocks * w.stride, np.iinfo(hashed.dtype).max, hashed.dtype)
-    least[: len(hashed)] = hashed
-    if w.stride > 1:
-        least = least.reshape(blocks, w.stride).min(1)
-    out = least.copy()
-    for k in range(1, min(w.span, blocks)):
-        np.minimum(out[: blocks - k], least[k:], out=out[: blocks - k])
-    return out
+class Grid:
+    """The windows of one kind over several texts: each text fills whole blocks of stride shingles, windows end with their text."""
+
+    def __init__(self, w: Windows, begins: np.ndarray, sizes: np.ndarray, none: int):
+        blocks = -(-sizes // w.stride)
+        first = np.cumsum(blocks) - blocks
+        self.shape = int(blocks.sum()), w.stride
+        self.text = np.repeat(np.arange(len(sizes)), blocks)
+        at = np.arange(self.shape[0]) - first[self.text]  # number of a block within its text
+        self.starts = at * w.stride
+        inside = self.starts[:, None] + np.arange(w.stride)
+        self.index = np.where(inside < sizes[self.text][:, None], begins[self.text][:, None] + inside, none).astype(np.int32)
+        left = blocks[self.text] - at
+        self.short = [np.flatnonzero(left[: max(0, len(left) - k)] <= k) for k in range(1, w.span)]
+
+    def minima(self, hashed: np.ndarray) -> np.ndarray:
+        """Least value of each window; the last of hashed stands for no shingle."""
+        least = hashed[self.index].min(1)
+        out = least.copy()
+        for k, short in enumerate(self.short, 1):
+            later = least[k:].copy()
+            later[short] = hashed[-1]
+            np.minimum(out[: len(later)], later, out=out[: len(later)])
+        return out
 
 
 class Library:
@@ -94,7 +109,7 @@ class Library:
         for members in kinds:
             least, most = len(self.shingles[members[0]]), len(self.shingles[members[-1]])
             stride = max(1, least // 4)
-            span = -(-(most + stride - 1) // stride)
+            span = -(-(self.longest(most) + stride - 1) // stride)
             alike = s.containment * least / (span * stride + (1 - s.containment) * least)
             bands = max(1, math.ceil(math.log(s.miss) / math.log1p(-min(1 - 1e-9, alike**s.rows))))
             self.windows.append(Windows(least, most, stride, span, bands, [], []))
@@ -121,66 +136,90 @@ class Library:
                 h = (h ^ np.uint64(p)) * np.uint64(0x9E3779B97F4A7C15)
         return int(h)
 
-    def candidates(self, sh: np.ndarray, valid: np.ndarray) -> set[tuple[int, int, int]]:
-        """(template, first shingle, past the last shingle) of windows with an equal band."""
+    def longest(self, n: int) -> int:
+        """Shingles of the longest passage of a template of n."""
+        return math.ceil(n * (2 - self.scan.containment))
+
+    def candidates(self, sh: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, template, first shingle in the text) of windows with an equal band; the last of sh stands for no shingle."""
         out: set[tuple[int, int, int]] = set()
-        none = np.uint32(0xFFFFFFFF)
-        for k in range(0, len(self.factors), self.scan.rows):
-            band = k // self.scan.rows
-            rows = []
-            for r in range(self.scan.rows):
-                h = self.hashed(sh, k + r)
-                h[~valid] = none
-                rows.append(h)
-            for w in self.windows:
-                if band >= w.bands:
-                    continue
-                key = np.zeros(-(-len(sh) // w.stride), np.uint64)
-                for h in rows:
-                    key = (key ^ minima(h, w).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        for w in self.windows:  # one grid at a time: work space for a text is some 40 bytes a word
+            g = Grid(w, begins, sizes, len(sh) - 1)
+            for band in range(w.bands):
+                key = np.zeros(g.shape[0], np.uint64)
+                for k in range(band * self.scan.rows, (band + 1) * self.scan.rows):
+                    h = self.hashed(sh, k)
+                    h[-1] = 0xFFFFFFFF
+                    key = (key ^ g.minima(h).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 hit = np.flatnonzero(w.filters[band][(key >> np.uint64(48)).astype(np.int64)])
                 for at, x in zip(hit.tolist(), key[hit].tolist()):
                     for i in w.keys[band].get(x, ()):
-                        out.add((i, at * w.stride, (at + w.span) * w.stride))
+                        out.add((int(g.text[at]), i, int(g.starts[at])))
         return out
 
+    def best_run(self, i: int, sh: np.ndarray) -> tuple[int, int]:
+        """Most different shingles of template i in a run of its longest length within sh, and the place of the first of them."""
+        own, longest = self.shingles[i], self.longest(len(self.shingles[i]))
+        found = np.searchsorted(own, sh)
+        places = np.flatnonzero(own[np.minimum(found, len(own) - 1)] == sh)
+        inside: dict[int, int] = {}
+        best, where, back = 0, 0, 0
+        which = found[places].tolist()
+        places = places.tolist()
+        for at, x in zip(places, which):
+            while places[back] <= at - longest:
+                y = which[back]
+                inside[y] -= 1
+                if not inside[y]:
+                    del inside[y]
+                back += 1
+            inside[x] = inside.get(x, 0) + 1
+            if len(inside) > best:
+                best, where = len(inside), places[back]
+        return best, where
+
     def search(self, lists: list[np.ndarray], every_window: bool = False) -> list[tuple[int, int, float, int]]:
-        """(text, template, containment, first shingle of the best window), once for each text and template that match."""
-        sizes = np.array([max(0, len(w) - self.scan.words + 1) for w in lists], np.int64)
+        """(text, template, containment, first word of the best passage), once for each text and template that match."""
+        n = self.scan.words
+        sizes = np.array([max(0, len(w) - n + 1) for w in lists], np.int64)
         if not sizes.sum():
             return []
-        words = np.concatenate(lists)
-        sh = shingles(words, self.scan.words)
-        starts = np.concatenate([[0], np.cumsum([len(w) for w in lists])[:-1]])
-        valid = np.zeros(len(sh), bool)
-        for a, n in zip(starts.tolist(), sizes.tolist()):
-            valid[a : a + n] = True
-        found: dict[tuple[int, int], tuple[float, int]] = {}
-        tried = self._all(len(sh)) if every_window else sorted(self.candidates(sh, valid))
-        for i, a, b in tried:
-            slack = int((1 - self.scan.containment) * len(self.shingles[i]))
-            low, high = max(0, a - slack), min(len(sh), b + slack)
-            first, last = int(np.searchsorted(starts, max(a, 0), "right")) - 1, int(np.searchsorted(starts, min(b, len(sh)) - 1, "right")) - 1
-            for text in range(first, last + 1):
-                x, y = max(low, int(starts[text])), min(high, int(starts[text] + sizes[text]))
-                if y <= x:
-                    continue
-                share = len(np.intersect1d(self.shingles[i], sh[x:y])) / len(self.shingles[i])
-                if share >= self.scan.containment and share > found.get((text, i), (0.0, 0))[0]:
-                    found[text, i] = share, x - int(starts[text])
-        return [(t, i, share, at) for (t, i), (share, at) in sorted(found.items())]
-
-    def _all(self, n: int) -> list[tuple[int, int, int]]:
+        sh = np.concatenate([*(shingles(w, n) for w in lists), np.zeros(1, np.uint64)])
+        begins = np.cumsum(sizes) - sizes
+        span = {i: w.span * w.stride for w in self.windows for i, x in enumerate(self.shingles) if w.least <= len(x) <= w.most}
+        out, near = [], sorted(self._all(sizes) if every_window else self.candidates(sh, begins, sizes))
+        k = 0
+        while k < len(near):
+            text, i, first = near[k]
+            best = (0, 0)
+            while k < len(near) and near[k][:2] == (text, i):  # windows that overlap are verified as one
+                a = near[k][2]
+                end = a + span[i]
+                while k < len(near) and near[k][:2] == (text, i) and near[k][2] <= end:
+                    end = near[k][2] + span[i]
+                    k += 1
+                slack = self.longest(len(self.shingles[i]))
+                a, end = max(0, a - slack), min(end + slack, int(sizes[text]))
+                share, at = self.best_run(i, sh[begins[text] + a : begins[text] + end])
+                if share > best[0]:
+                    best = share, a + at
+            if best[0] >= self.scan.containment * len(self.shingles[i]):
+                out.append((text, i, best[0] / len(self.shingles[i]), best[1]))
+        return out
+
+    def _all(self, sizes: np.ndarray) -> list[tuple[int, int, int]]:
         """Every window for every template of its length: what retrieval saves, kept for tests."""
-        return [(i, a, a + w.span * w.stride) for w in self.windows for i, x in enumerate(self.shingles) if w.least <= len(x) <= w.most for a in range(0, n, w.stride)]
+        return [(t, i, a) for w in self.windows for i, x in enumerate(self.shingles) if w.least <= len(x) <= w.most for t, n in enumerate(sizes.tolist()) for a in range(0, n, w.stride)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str], scan: Scan = Scan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, license, containment, first_word: every document and template of whose shingles some passage holds enough.
 
     Words are runs of word characters in lower case; containment (six digits) is the best of the passages found and first_word the place
-    of its window, counted in words from 0. Whole texts are scanned; null, empty and short ones match nothing. Repeated rows are each
-    reported; extra columns are left behind. Templates of fewer words than a shingle raise ValueError; their number bounds what is broadcast.
+    of its first shingle of the template, counted in words from 0 (of equal passages the first). Whole texts of any length are scanned;
+    null, empty and short ones match nothing, and an empty table gives an empty result. Repeated rows and rows with null ids are each
+    reported; extra columns are left behind, whatever their names. Templates of fewer words than a shingle raise ValueError; their
+    number bounds what is broadcast. Rows don't depend on how docs is partitioned.
     """
     ship(docs.sparkSession)
     library = docs.sparkSession.sparkContext.broadcast(Library(templates, scan))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import prose
 
 from plumbline.llm import decontaminate, license_scan
@@ -125,3 +126,80 @@ def test_blocks_of_items_change_nothing(spark, items):
     one = {tuple(r) for r in decontaminate.find_leaks(docs, bench).collect()}
     many = {tuple(r) for r in decontaminate.find_leaks(docs, bench, decontaminate.Search(block=3)).collect()}
     assert one == many and len(one) == len(items)
+
+
+@pytest.mark.parametrize("n", [2, 3, 9, 10, 12, 15, 61, 300, 1000, 2000])
+def test_recall_at_every_length_and_in_every_batch(n):
+    items = [(i, prose(7000 + 10 * n + i, n)) for i in range(4)]
+    index, h, r = decontaminate.Index(items, decontaminate.Search()), decontaminate.WordHashes(), random.Random(n)
+    lists, truth = [], []
+    for share in (0.0, 0.03, 0.06, 0.1):
+        for rep in range(15 if n < 1000 else 4):
+            for i, (_, text) in enumerate(items):
+                words = tokens(text)
+                for _ in range(int(share * n)):
+                    at = r.randrange(len(words))
+                    r.choice([lambda: words.pop(at), lambda: words.insert(at, f"new{r.randrange(999)}"), lambda: words.__setitem__(at, f"new{r.randrange(999)}")])()
+                around = tokens(prose(rep, 150))
+                at = r.randint(0, len(around))
+                lists.append(h(" ".join(around[:at] + words + around[at:])))
+                truth.append(i)
+    got = index.search_texts(lists)
+    found = {(t, i) for t, i, _ in got}
+    assert np.mean([(t, i) in found for t, i in enumerate(truth)]) >= 0.95
+    assert got == [(t, i, d) for t, w in enumerate(lists) for _, i, d in index.search_texts([w])]
+    order = list(range(len(lists)))
+    r.shuffle(order)
+    assert got == sorted((order[t], i, d) for t, i, d in index.search_texts([lists[t] for t in order]))
+
+
+def best_passage(text, template, words=5, share=0.8):
+    """Most shingles of the template in a run of at most 1.2 times their number, and the first word of the earliest such run, by trying all."""
+    own = {tuple(t[i : i + words]) for t in [tokens(template)] for i in range(len(t) - words + 1)}
+    sh = [tuple(text[i : i + words]) for i in range(len(text) - words + 1)]
+    longest = -(-len(own) * 12 // 10)
+    runs = [(len(own & set(sh[a : a + longest])), -a) for a in range(len(sh)) if sh[a] in own]
+    best = max(runs, default=(0, 0))
+    return (round(best[0] / len(own), 6), -best[1]) if best[0] >= share * len(own) else None
+
+
+def test_licences_equal_an_independent_brute_force(spark):
+    r, rows = random.Random(3), []
+    for k, name in enumerate(sorted(TEMPLATES) * 3):
+        words = tokens(TEMPLATES[name])
+        for _ in range(int(len(words) * 0.05 * r.random())):
+            words[r.randrange(len(words))] = f"zzz{r.randrange(99)}"
+        around = tokens(prose(k, 150))
+        at = r.randint(0, len(around))
+        rows.append((k, " ".join(around[:at] + words + around[at:] + (words if k % 4 == 0 else []))))
+    rows += [(None, rows[0][1]), (1, rows[1][1]), (500, prose(4, 120_000) + " " + TEMPLATES["MIT notice"]), (501, "\u00c9\u0130 " * 40 + rows[2][1])]
+    want = {}
+    for n, (_, text) in enumerate(rows):
+        have = tokens(text)
+        for name in TEMPLATES:
+            if len(have) < 5000 or name == "MIT notice":
+                hit = best_passage(have[-3000:] if len(have) > 5000 else have, TEMPLATES[name])
+                if hit:
+                    want[n, name] = (hit[0], hit[1] + (len(have) - 3000 if len(have) > 5000 else 0))
+    library, h = license_scan.Library(TEMPLATES, license_scan.Scan()), decontaminate.WordHashes()
+    lists = [h(t) for _, t in rows]
+    got = library.search(lists)
+    assert {(t, library.names[i]): (round(s, 6), at) for t, i, s, at in got if rows[t][0] != 500 or library.names[i] == "MIT notice"} == want and len(want) > 20
+    assert got == [(t, i, s, at) for t, w in enumerate(lists) for _, i, s, at in library.search([w])]
+    clash = spark.createDataFrame([(d, t, "x", 1.0, 2) for d, t in rows], "doc_id long, text string, license string, containment double, first_word int")
+    out = license_scan.scan_licenses(clash.repartition(3), TEMPLATES).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, license_scan.scan_licenses(clash.coalesce(1), TEMPLATES).collect())) and len(out) == len(got)
+    assert sum(r.doc_id is None for r in out) and sum(r.doc_id == 1 for r in out) >= 2
+
+
+def test_leaks_in_repeated_rows_null_ids_clashing_columns_and_other_types(spark, items):
+    hit = prose(1, 80) + " " + items[2][1] + " " + prose(2, 80)
+    long_hit = prose(3, 400_000) + " " + items[4][1]
+    rows = [(1, hit, 5, 1.0, 1), (1, hit, 5, 1.0, 1), (None, hit, None, None, None), (2, long_hit, 5, 1.0, 1), (3, prose(5, 90), 5, 1.0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, distance double, item int")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = sorted((tuple(r) for r in decontaminate.find_leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 2, 0, 25), (1, 2, 0, 25), (None, 2, 0, 25), (2, 4, 0, 37)], key=str)
+    for table in (docs, docs.withColumn("text", F.col("text").cast("binary"))):
+        kept = decontaminate.reject_leaks(table, bench)
+        assert kept.schema == table.schema and [r.doc_id for r in kept.collect()] == [3]
