@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import join_unique, shared_dir, ship, spool
+from plumbline.llm.common import join_unique, shared_dir, ship, spool, uri_of
 
 VERSION = b"WARC/1.1"
 DATE = b"2000-01-01T00:00:00Z"
@@ -94,36 +94,41 @@ def records_of(name: str, url: str | None, payload: bytes, refers_to: str | None
             yield _record(b"continuation", f"{name}:{k + 1}", [(b"WARC-Segment-Origin-ID", b"<" + name.encode() + b">"), number, *total], part)
 
 
+def place_of(uri: str):
+    """File system and path of a URI; file: with any number of slashes, or a bare path, is on this machine."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
 def write_archives(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """path, records: the .warc.gz files written to the shared folder for name, url, payload (binary) and refers_to.
+    """path (a URI), records: the .warc.gz files written to the shared folder for name, url, payload (binary) and refers_to.
 
     A file only counts once its task has given its name, so a task that is lost and run again leaves no double records.
     """
     ship(pages.sparkSession)
-    folder = f"{shared_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
+    folder = f"{uri_of(pages.sparkSession, shared_dir(pages.sparkSession))}/archives-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, root = place_of(folder)
         system.create_dir(root, recursive=True)
-        done, out, path, size, n = [], None, "", 0, 0
+        done, out, name_of_file, size, n = [], None, "", 0, 0
         for batch in batches:
             for name, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    path, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = system.open_output_stream(path, compression=None)
+                    name_of_file, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = system.open_output_stream(f"{root}/{name_of_file}", compression=None)
                 for record in records_of(name, url, payload, refers_to, layout):
                     out.write(record)
                     n += 1
                 size += len(payload)
                 if size >= layout.file:
                     out.close()
-                    done.append((path, n))
+                    done.append((f"{folder}/{name_of_file}", n))
                     out = None
         if out is not None:
             out.close()
-            done.append((path, n))
+            done.append((f"{folder}/{name_of_file}", n))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
 
     return spool(pages.select("name", "url", "payload", "refers_to").mapInArrow(run, "path string, records long"), "manifest")
@@ -169,12 +174,12 @@ def _payload(block: bytes) -> bytes:
     return decode_chunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+#: Tasks that read archives at most; beyond that a task reads several, one after another.
+READERS = 20_000
 READ = T.StructType([T.StructField(n, t) for n, t in (("name", T.StringType()), ("kind", T.StringType()), ("refers_to", T.StringType()), ("stated", T.StringType()), ("segment", T.IntegerType()), ("total", T.LongType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("block", T.BinaryType()))])
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
     rows: list[tuple] = []
     size = 0
     names = [f.name for f in READ.fields]
@@ -191,7 +196,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            system, where = place_of(path)
             with system.open_input_stream(where, compression=None) as stream:
                 for h, block in parse_records(stream):
                     kind, segment = h[b"warc-type"].decode(), int(h.get(b"warc-segment-number", b"0"))
@@ -225,15 +230,17 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["name", "stated", "payload_bytes", "payload_digest"])
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """name, record_type, refers_to, payload_bytes, payload_digest of every page in the files of manifest (column path).
+def read_archives(manifest: DataFrame, strict: bool = True) -> DataFrame:
+    """name, record_type, refers_to, payload_bytes, payload_digest of every page in the files of manifest (column path, URIs).
 
     Missing, repeated or short segments, broken framing and digests that differ from the stated ones fail the job. A revisit
-    gets size and digest from the response that it refers to; hot responses are joined by broadcast of at most 1,000 rows.
+    gets size and digest from the response that it refers to; hot responses are joined by broadcast of at most 1,000 rows. A revisit
+    whose response isn't among the files fails the job too; if not strict, it keeps its stated digest and has no size.
+    Every file is read by a task of its own, up to READERS tasks; a manifest without files gives an empty table.
     """
     ship(manifest.sparkSession)
     files = manifest.select("path")
-    read = spool(files.repartition("path").mapInArrow(_read_files, READ), "records")
+    read = spool(files.repartition(min(max(1, files.count()), READERS)).mapInArrow(_read_files, READ), "records")
     single = read.where("kind = 'response' and segment = 0").select("name", "stated", "payload_bytes", "payload_digest")
     parts = read.where("segment > 0").groupBy("name").agg(F.max("stated").alias("stated"), F.array_sort(F.collect_list(F.struct("segment", "total", "block"))).alias("parts"))
     joined = parts.select("name", "stated", "parts").mapInArrow(_reassemble, "name string, stated string, payload_bytes long, payload_digest string")
@@ -241,9 +248,13 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     responses = spool(single.unionByName(joined).withColumn("payload_digest", verified).drop("stated"), "responses")
     revisits = read.where("kind = 'revisit'").select("name", "refers_to", "stated")
     uses = revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n"))
-    targets = responses.withColumnRenamed("name", "refers_to").join(uses, "refers_to")
-    same = F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("revisit of another payload: "), F.col("name"))))
+    targets = uses.join(responses.withColumnRenamed("name", "refers_to"), "refers_to", "left").withColumn("known", F.col("payload_digest").isNotNull())
+    if strict:
+        targets = targets.withColumn("known", F.when(F.col("known"), True).otherwise(F.raise_error(F.concat(F.lit("no response for revisits of "), F.coalesce("refers_to", F.lit("no record"))))))
+    same = F.when(~F.col("known") | (F.col("stated") == F.col("payload_digest")), F.col("stated")).otherwise(F.raise_error(F.concat(F.lit("revisit of another payload: "), F.col("name"))))
     seen = join_unique(revisits, spool(targets, "targets"), "refers_to", "n")
+    if not strict:
+        seen = seen.unionByName(revisits.where("refers_to IS NULL").withColumn("known", F.lit(False)), allowMissingColumns=True)
     return responses.select("name", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_digest").unionByName(seen.select("name", F.lit("revisit").alias("record_type"), "refers_to", "payload_bytes", same.alias("payload_digest")))
 
 
@@ -252,7 +263,9 @@ def archive_pages(pages: DataFrame, layout: Layout = Layout(), least_bytes: int
 
     Of rows with equal payloads of at least least_bytes the smallest id is the response and the others revisit it. A null payload is
     empty. Repeated rows of one id and payload share one record and are all given out; a null id with a repeated payload counts as a
-    revisit of the smallest id, and as a response if no row of that payload has an id. Extra columns are left behind.
+    revisit of the smallest id, and as a response if no row of that payload has an id. Ids of any type that a string can be cast back
+    to are allowed, with any characters. A payload of any length is held whole by the task that writes or joins it, as the record format
+    does. An empty table gives an empty result; extra columns are left behind.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     source = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
@@ -264,14 +277,16 @@ def archive_pages(pages: DataFrame, layout: Layout = Layout(), least_bytes: int
     owners = spool(marks.groupBy("sha").agg(F.min("page").alias("owner"), F.count(F.lit(1)).alias("n")), "owners")
     placed = join_unique(marks, owners.where("n > 1"), "sha", "n")
     again = placed.where((F.col("size") >= least_bytes) & ~F.col("page").eqNullSafe(F.col("owner"))).select("page", "sha", "owner").distinct()
-    name = F.concat(F.lit(NAME), F.coalesce(F.col("page").cast("string"), F.lit("null")), F.lit(":"), F.col("sha"))
+
+    def name_of(c: str) -> Column:
+        return F.concat(F.lit(NAME), F.coalesce(F.concat(F.lit("id-"), F.url_encode(F.col(c).cast("string"))), F.lit("null")), F.lit(":"), F.col("sha"))
+
     joined = source.alias("s").join(again.alias("a"), F.col("s.page").eqNullSafe(F.col("a.page")) & (F.col("s.sha") == F.col("a.sha")), "left").select("s.page", "s.url", "s.payload", "s.sha", "a.owner")
-    refers = F.when(F.col("owner").isNotNull(), F.concat(F.lit(NAME), F.col("owner").cast("string"), F.lit(":"), F.col("sha")))
-    ready = joined.select(name.alias("name"), "url", "payload", refers.alias("refers_to"))
+    ready = joined.select(name_of("page").alias("name"), "url", "payload", F.when(F.col("owner").isNotNull(), name_of("owner")).alias("refers_to"))
     found = read_archives(write_archives(ready, layout))
-    part = lambda c, i: F.regexp_extract(c, f"^{NAME}([^:]*):(.*)", i)
-    page = lambda c: part(c, 1).try_cast(pages.schema[id_col].dataType)
-    out = found.select(page(F.col("name")).alias(id_col), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"), part(F.col("name"), 2).alias("sha"))
+    part = lambda c, i: F.regexp_extract(c, f"^{NAME}(id-)?([^:]*):(.*)", i)
+    page = lambda c: F.when(part(c, 1) == "id-", F.url_decode(part(c, 2))).try_cast(pages.schema[id_col].dataType)
+    out = found.select(page(F.col("name")).alias(id_col), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"), part(F.col("name"), 3).alias("sha"))
     if repeated:
         on = out[id_col].eqNullSafe(copies["page"]) & (out["sha"] == copies["sha"])
         times = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))

@@ -110,6 +110,38 @@ def test_lost_or_doubled_segments_fail(spark):
             warc.read_archives(spark.createDataFrame([(path,)], "path string")).collect()
 
 
+def test_ids_of_any_text_come_back(spark):
+    ids = ["a:b", "a:c", "null", None, "", "a%3Ab", "é 日\n+", "id-a", "x" * 300]
+    pages = spark.createDataFrame([(i, "u", f"page {n}") for n, i in enumerate(ids)] + [(i, "u", "same") for i in ids[:5]], "page_id string, url string, html string")
+    got = warc.archive_pages(pages).collect()
+    assert sorted((repr(r.page_id), r.payload_digest) for r in got if r.record_type == "response" and r.payload_bytes == 6) == sorted((repr(i), warc.digest_of(f"page {n}".encode())) for n, i in enumerate(ids))
+    assert sorted((repr(r.page_id), r.refers_to) for r in got if r.payload_bytes == 4) == sorted([("''", None), ("'a:b'", ""), ("'a:c'", ""), ("'null'", ""), ("None", "")])
+
+
+def test_archives_are_read_side_by_side_and_from_file_uris(spark, monkeypatch):
+    pages = spark.range(60).selectExpr("id page_id", "'u' url", "repeat(cast(id as string), 2000) html")
+    base = warc.shared_dir(spark)
+    monkeypatch.setattr(warc, "shared_dir", lambda _: "file:" + base.removeprefix("file:"))
+    manifest = warc.write_archives(pages.selectExpr(f"'{warc.NAME}id-' || page_id || ':x' name", "url", "cast(html as binary) payload", "cast(null as string) refers_to").repartition(12), warc.Layout(file=10_000))
+    files = manifest.count()
+    assert files > 8 and manifest.first().path.startswith("file:///")
+    read = manifest.select("path").repartition(min(files, warc.READERS)).mapInArrow(warc._read_files, warc.READ)
+    assert read.rdd.getNumPartitions() == files
+    assert warc.read_archives(manifest).count() == 60 == warc.archive_pages(pages).count()
+
+
+def test_revisits_without_their_response(spark):
+    path = f"{warc.shared_dir(spark)}/revisits.warc.gz"
+    with open(path, "wb") as f:
+        f.write(b"".join([*warc.records_of("here", "u", b"abc", None, warc.Layout()), *warc.records_of("good", "u", b"abc", "here", warc.Layout()), *warc.records_of("lone", "u", b"xyz", "gone", warc.Layout())]))
+    manifest = spark.createDataFrame([(path,)], "path string")
+    with pytest.raises(Exception, match="no response for revisits of gone"):
+        warc.read_archives(manifest).collect()
+    got = {r.name: (r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read_archives(manifest, strict=False).collect()}
+    assert got == {"here": ("response", None, 3, warc.digest_of(b"abc")), "good": ("revisit", "here", 3, warc.digest_of(b"abc")), "lone": ("revisit", "gone", None, warc.digest_of(b"xyz"))}
+    assert warc.read_archives(manifest.limit(0)).collect() == []
+
+
 CHATS = [
     (1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"),
     (2, 1, "assistant", "second"), (2, 0, "user", "first"),
