@@ -27,16 +27,23 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = REPO + (os.pathsep + have if have else "")
 
 
+#: Where a session names no shared folder: one of its own for each application. Tables that spool wrote and nothing deleted yet.
+_own: dict[str, str] = {}
+_spooled: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; an own temporary one only where the session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if base:
+        return base.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="plumbline-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        _own[app] = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
 
 
 def uri_of(spark: SparkSession, folder: str) -> str:
@@ -47,21 +54,40 @@ def uri_of(spark: SparkSession, folder: str) -> str:
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors.
+
+    The files last until release() or the end of the program.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _spooled:
+        atexit.register(_release_all)
+    _spooled[path] = spark
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_all() -> None:
+    for name, spark in _spooled.items():
+        try:
+            _delete(spark, name)
+        except Exception:  # noqa: BLE001 - the session has ended: its folder is the cluster's to clear
+            return
+    _spooled.clear()
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files behind spooled tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+            for known in [k for k in _spooled if name.endswith(k.removeprefix("file://"))]:
+                del _spooled[known]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,7 +175,7 @@ class Memo(dict):
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, parts: int = 1000) -> DataFrame:
-    """left joined to right, which has each key once and in weight the rows that left has of it.
+    """left joined to right, which has each key once and in weight the rows that left has of it, at least.
 
     Keys with over 1/parts of all rows, of which there can't be more than parts, are broadcast; so no task gets a hot key.
     Null keys match nothing and are dropped; both inputs should be cheap to read again.
@@ -157,6 +183,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, parts:
     total = right.agg(F.sum(weight)).first()[0] or 0
     hot = right.where(F.col(weight) * parts > total).drop(weight)
     rest = right.where(F.col(weight) * parts <= total).drop(weight)
+    if hot.isEmpty():
+        return left.join(rest, key)
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
@@ -164,7 +192,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node, root: every node of the links and the smallest node that it reaches, by alternating large and small stars.
 
     Each round is written to the shared folder, so lost executors cost one round at most; the number of rounds grows with
-    the logarithm of the number of nodes. Groups are reduced before they are shuffled. No links give an empty table.
+    the logarithm of the number of nodes. Groups are reduced before they are shuffled, and the links of a hub are joined where they
+    are, to a broadcast of at most 1,000 hubs. No links give an empty table.
     """
     edges = spool(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     mark = None
@@ -174,10 +203,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
         mark = now
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        near = spool(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "neighbours")
+        large = join_unique(both.where("v > u"), near, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = spool(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = spool(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = join_unique(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         old, edges = edges, spool(small, "small-star")
-        release(old, large)
+        release(old, near, large, least)
