@@ -1,4 +1,9 @@
-"""Near-duplicates by word shingles: MinHash bands retrieve pairs, the exact Jaccard similarity of their shingle sets decides."""
+"""Near-duplicates by word shingles: MinHash bands retrieve pairs, the exact Jaccard similarity of their shingle sets decides.
+
+Only groups are wanted, so a crowded bucket isn't turned into all its pairs: every set is compared with one pivot. Sets alike to the
+pivot are linked through it. The others go on to the next pivot, and Jaccard distance, being a metric, tells which of them
+could still be alike to a linked one.
+"""
 
 from __future__ import annotations
 
@@ -12,19 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import simhash
-from plumbline.llm.common import connected_components, map_texts, spool
+from plumbline.llm.common import connected_components, join_unique, map_texts, release, spool
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 0.00003.
 BANDS, ROWS = 20, 4
 WORDS, PERCENT = 5, 80
 FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A bucket of more sets is crowded: it gets up to PIVOTS pivots, and what is then left is split by every other band.
+CROWD, PIVOTS = 128, 4
+#: Comparisons with one set that one task makes, about.
+SPREAD = 4096
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of words, split as in simhash; a shorter text is one run, one without words has none."""
-    found = text.encode().lower().split()
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(found[i : i + words])) for i in range(max(1, len(found) - words + 1))] if found else [], np.uint64))
+    parts = [np.unique(h.view(">u8").astype(np.uint64).ravel()) for h in simhash.shingle_hashes(text, words, 0)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def _digest(s: np.ndarray) -> int | None:
@@ -55,31 +63,90 @@ def _sets(words: int) -> Callable[[list[str]], dict]:
     return work
 
 
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, salt and more) with shared and total: sizes of the sections and unions of their sets. Each salt of an a is joined by itself."""
+    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
+    both = pairs.join(left, ["a", "salt"]).join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select(*pairs.columns, shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("total"))
+
+
+def _all_pairs(buckets: DataFrame) -> DataFrame:
+    pairs = buckets.select("key", F.col("sid").alias("a")).join(buckets.select("key", F.col("sid").alias("b")), "key").where("a < b")
+    return pairs.select("a", "b", F.lit(0).alias("salt")).distinct()
+
+
+def _crowded(buckets: DataFrame) -> DataFrame:
+    return spool(buckets.groupBy("key").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "crowded")
+
+
+def similar_links(one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join all sets of one (sid, bands) of which a band retrieves a chain of pairs with a similarity of percent or more.
+
+    Every link is verified exactly. Between a pivot's linked and other sets all those pairs are compared that the distances to the
+    pivot allow to be alike. Sets that are left over after PIVOTS pivots are compared where a second band agrees too: a pair at 0.8
+    that one band retrieves is then missed with a calculated probability of 0.00005.
+    """
+    buckets = spool(one.select("sid", F.explode("bands").alias("key")), "buckets")
+    gap, links = 100 - percent, []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return compared(pairs, sets).where(F.col("shared") * 100 >= percent * F.col("total")).select("a", "b")
+
+    for _ in range(PIVOTS):
+        crowded = _crowded(buckets)
+        if crowded.isEmpty():
+            break
+        links.append(verified(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"))))
+        spread = F.ceil(F.col("n") / SPREAD).cast("long")
+        tried = spool(join_unique(buckets, crowded.withColumn("members", F.col("n")), "key", "members").where("sid <> pivot").select("key", F.col("pivot").alias("a"), F.col("sid").alias("b"), F.pmod(F.xxhash64("sid"), spread).alias("salt")), "tried")
+        met = spool(compared(tried.groupBy("a", "b").agg(F.min("salt").alias("salt")), sets), "met")
+        links.append(met.where(F.col("shared") * 100 >= percent * F.col("total")).select("a", "b"))
+        share = F.col("shared") * 100 / F.col("total")
+        placed = spool(tried.select("key", "a", "b").join(met.select("a", "b", share.alias("share")), ["a", "b"]).select("key", F.col("b").alias("sid"), "share"), "placed")
+        rest = placed.where(F.col("share") < percent)
+        ring = rest.where(F.col("share") >= percent - gap).select("key", F.col("sid").alias("a"), F.col("share").alias("outer"))
+        near = placed.where(F.col("share") >= percent).select("key", F.col("sid").alias("b"), F.col("share").alias("inner"))
+        across = ring.join(near, "key").where(F.col("inner") <= F.col("outer") + gap + 1e-9).select("a", "b", F.lit(0).alias("salt")).distinct()
+        links.append(verified(across))
+        buckets = spool(rest.select("sid", "key"), "buckets")
+    else:
+        crowded = _crowded(buckets)
+        links.append(verified(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"))))
+        apart = join_unique(buckets, crowded.select("key", "n"), "key", "n").join(one.select("sid", F.explode("bands").alias("other")), "sid").where("other <> key")
+        buckets = apart.select("sid", F.xxhash64("key", "other").alias("key"))
+    links.append(verified(_all_pairs(buckets)))
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return spool(out, "links")
+
+
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of the smallest id of each group of near-duplicates; rows without an id stay.
 
     Linked are texts whose shingle sets have a Jaccard similarity of percent or more, and those that simhash.near_duplicates links.
-    Work goes over distinct sets; only texts of retrieved pairs are compared.
+    Work goes over distinct sets; only texts of retrieved pairs are compared. Null and blank texts are one group, of repeated rows
+    of one id one stays, texts of any length are read whole, and an empty table gives an empty result.
     """
     known = docs.where(F.col(id_col).isNotNull())
     near = spool(simhash.near_duplicates(docs, id_col=id_col, text_col=text_col), "near")
     signed = spool(map_texts(known, id_col, text_col, partial(_signatures, words), [T.StructField("sid", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), "signatures")
     rows = signed.where("sid IS NOT NULL").select(id_col, "sid")
     one = spool(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(id_col).alias("least"), F.first("bands").alias("bands")), "sets")
-    keys = one.select("sid", F.explode("bands").alias("key"))
-    pairs = keys.select("key", F.col("sid").alias("a")).join(keys.select("key", F.col("sid").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    pairs = spool(pairs, "pairs")
-    wanted = one.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select(F.col("least").alias(id_col), "sid")
+    keys = one.select("sid", F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid"))
+    shared = keys.where("n > 1").select("key", "n")
+    met = spool(join_unique(one.select("least", "sid", F.explode("bands").alias("key")), spool(shared, "shared"), "key", "n").select(F.col("least").alias(id_col), "sid").distinct(), "met")
     # ids of pairs grow with the documents: shuffled at every size
-    texts = known.select(id_col, text_col).join(wanted.select(id_col).distinct().hint("shuffle_hash"), id_col, "left_semi")
+    texts = known.select(id_col, text_col).join(met.select(id_col).distinct().hint("merge"), id_col, "left_semi")
     sets = spool(map_texts(texts, id_col, text_col, partial(_sets, words), [T.StructField("sid", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]).select("sid", "shingles").dropDuplicates(["sid"]), "shingles")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = spool(both.where(shared * 100 >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "alike")
+    alike = similar_links(one.join(met.select("sid").hint("merge"), "sid", "left_semi"), sets, percent)
     placed = spool(rows.join(near.select(id_col, "component_id").distinct(), id_col).select("sid", "component_id").distinct(), "placed")
     least = placed.groupBy("sid").agg(F.min("component_id").alias("least"))
     same = placed.join(least, "sid").select(F.col("component_id").alias("a"), F.col("least").alias("b"))
     across = alike.join(least.select(F.col("sid").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("sid").alias("b"), F.col("least").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     roots = connected_components(same.unionByName(across).where("a <> b"))
-    found = near.join(roots, F.col("component_id") == F.col("node"), "left").select(id_col, F.coalesce("root", "component_id").alias("component_id"))
-    return simhash.keep_first(docs, found, id_col)
+    first = near.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
+    kept = spool(first.join(roots.where("node <> root").select(F.col("node").alias(id_col)).hint("merge"), id_col, "left_anti"), "kept")
+    release(near, signed, one, met, sets, placed)
+    return simhash.keep_first(docs, kept, id_col)

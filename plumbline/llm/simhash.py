@@ -156,12 +156,12 @@ def deduplicate(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str
 
     Rows without an id can't be chosen by it: they all stay. An empty table gives an empty result.
     """
-    return keep_first(docs, near_duplicates(docs, words, distance, id_col, text_col), id_col)
+    found = near_duplicates(docs, words, distance, id_col, text_col)
+    return keep_first(docs, spool(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")), "kept"), id_col)
 
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is the component_id that found gives it; of repeated rows of one id one stays, rows without an id all."""
-    kept = spool(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")), "kept")
+def keep_first(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is in kept (ids and their rows, written); of repeated rows of one id one stays, rows without an id all."""
     # the list of ids grows with the documents: the join is shuffled at every size, and spills where an id list doesn't fit
     out = docs.join(kept.select(id_col).hint("merge"), id_col, "left_semi")
     if not kept.where("rows > 1").isEmpty():

@@ -3,12 +3,17 @@
 import random
 
 import corpus_pipeline
+import pytest
 from samples import prose
 
 from plumbline.llm import near_dups, simhash
 
 
-def test_stage_finds_every_pair_of_similarity(spark):
+@pytest.mark.parametrize(("crowd", "pivots", "spread"), [(128, 4, 4096), (2, 4, 3), (2, 1, 4096), (1, 60, 1)])
+def test_stage_finds_every_pair_of_similarity(spark, monkeypatch, crowd, pivots, spread):
+    monkeypatch.setattr(near_dups, "CROWD", crowd)
+    monkeypatch.setattr(near_dups, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dups, "SPREAD", spread)
     r = random.Random(4)
     docs = []
     for i in range(40):
