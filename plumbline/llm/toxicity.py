@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import keep_rows, map_texts
+from plumbline.llm.common import keep_rows, map_texts, release, spool
 
 WORD = re.compile(r"[^\W_]+")
 MEMO_ENTRIES = 300_000
@@ -26,9 +26,14 @@ MEMO_ENTRIES = 300_000
 
 @dataclass(frozen=True)
 class Settings:
-    """Everything that fixes the model. sample bounds the labelled rows it is fitted on; scoring has no bound."""
+    """Everything that fixes the model. sample and sample_bytes bound the labelled rows it is fitted on; scoring has no bound.
+
+    A text of over longest bytes is left out of the fit alone.
+    """
 
     sample: int = 6_000
+    sample_bytes: int = 64 << 20
+    longest: int = 1 << 20
     buckets: int = 1 << 18
     dims: int = 4
     low: int = 3
@@ -180,13 +185,27 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows that aren't held out: all of them, or settings.sample with the least hash of the id.
 
-    The bound holds for the fit alone. Null labels, null ids and labels without a document are left out. Ties and
-    repeated rows are all taken as they come, in the order of hash, id and text, so the fit is the same on every run.
+    The bound holds for the fit alone. Null labels, null ids and labels without a document are left out. An id that is labelled more
+    than once is toxic if any label says so; of several texts of an id the one with the least digest counts. Of the chosen texts, in the order
+    of the hash, those are read that settings.sample_bytes has room for. So the fit is the same on every run and the driver reads a bounded
+    number of bytes. Without any labels every score is next to 0.
     """
-    marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col(id_col)))
-    chosen = marked.orderBy(F.xxhash64(id_col), id_col, "y").limit(settings.sample)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).collect()
-    rows.sort(key=lambda r: (r[0], r["y"], r["text"]))
+    every = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col(id_col)))
+    marked = every.groupBy(id_col).agg(F.max("y").alias("y"))
+    chosen = marked.select(id_col, "y", F.xxhash64(id_col).alias("h")).orderBy("h", id_col).limit(settings.sample)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    short = docs.select(F.col(id_col), text.alias("text")).where(F.octet_length("text") <= settings.longest)
+    found = short.join(F.broadcast(chosen), id_col).groupBy(id_col, "y", "h").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    found = spool(found.withColumn("size", F.octet_length("text")), "labelled")
+    room, last = settings.sample_bytes, None
+    for r in found.select("h", id_col, "size").orderBy("h", id_col).collect():
+        room -= r["size"]
+        if room < 0:
+            break
+        last = r
+    rows = found.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col(id_col) <= last[id_col])).select(id_col, "y", "text").collect() if last else []
+    release(found)
+    rows.sort(key=lambda r: r[0])
     return train([r["text"] for r in rows], [r["y"] for r in rows], settings)
 
 
@@ -219,14 +238,16 @@ def _work(model) -> Callable[[list[str]], dict]:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1, of label 1), predicted (1 if score >= 0.5) for the whole text of every row.
 
-    Null, empty and wordless texts score the share of toxic documents in the fit; without any labels all scores are next to 0. The model that is broadcast has a fixed number of buckets.
+    Null, empty and wordless texts score the share of toxic documents in the fit; without any labels all scores are next to 0. Repeated rows
+    and null ids keep their rows, a text of any length is scored whole, extra columns are left behind. The model that is broadcast
+    has a fixed number of buckets.
     """
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return map_texts(docs, id_col, text_col, partial(_work, docs.sparkSession.sparkContext.broadcast(model)), fields)
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score, predicted: fit, then score every row of docs."""
+    """id_col, held_out, score, predicted: fit, then score every row of docs; an empty table gives an empty result."""
     scored = score(docs, fit(docs, labels, settings, id_col, text_col), id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
