@@ -20,22 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import arrow_schema, join_unique, map_texts, ship, spool
+from plumbline.llm.common import arrow_schema, groups, join_unique, map_texts, release, ship, spool, texts_of
 
 UNIT, PAD = 576, b"\xff"
 _rng = np.random.default_rng(20240607)
 GEAR = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
 HEADER = 44
+SPARSE = 16
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Sizes of chunks in bytes; the mean is a power of two over the least. bits is the size of the filter of repeated digests."""
+    """Sizes of chunks in bytes; the mean is a power of two over the least.
+
+    The filter of repeated digests has at least SPARSE bits for each of them, so it doesn't fill up. bits bounds what is broadcast:
+    where more would be needed, repeated chunks are told apart by a join of digests instead. What is stored differs only in
+    a few chunks that occur once; what is read back doesn't differ.
+    """
 
     least: int = 256
     mean: int = 1024
     most: int = 8192
-    bits: int = 1 << 26
+    bits: int = 1 << 29
 
 
 def payload_of(text: str) -> tuple[bytes, int]:
@@ -83,16 +89,23 @@ def _digests(cuts: Cuts) -> Callable[[list[str]], dict]:
     return lambda texts: {"digests": [[digest(c) for c in cut(payload_of(t)[0], cuts)] for t in texts]}
 
 
-def repeated_filter(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> np.ndarray:
-    """Bits of the slots of all digests that occur more than once; of fixed size, so it can be broadcast at any input size.
+LISTED = [T.StructField("digests", T.ArrayType(T.BinaryType()))]
+
+
+def repeated_digests(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> DataFrame:
+    """d, n: the digests of all chunks that occur more than once, and how often."""
+    listed = map_texts(docs, id_col, text_col, partial(_digests, cuts), LISTED)
+    return listed.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def filter_of(repeated: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the slots of the digests.
 
     Other digests may fall on a set bit too: their chunks then just go to the shared table. Nothing depends on that but cost.
     """
-    listed = map_texts(docs, id_col, text_col, partial(_digests, cuts), [T.StructField("digests", T.ArrayType(T.BinaryType()))])
-    twice = listed.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slot = F.pmod(F.conv(F.hex(F.substring("d", 1, 8)), 16, -10).cast("long"), F.lit(cuts.bits))
-    words = twice.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot as int) & 31)")).alias("v"))
-    out = np.zeros(cuts.bits // 32, np.int32)
+    slot = F.pmod(F.conv(F.hex(F.substring("d", 1, 8)), 16, -10).cast("long"), F.lit(bits))
+    words = repeated.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot as int) & 31)")).alias("v"))
+    out = np.zeros(bits // 32, np.int32)
     found = words.toArrow()
     out[found.column("w").to_numpy()] = found.column("v").to_numpy()
     return out.view(np.uint32)
@@ -103,32 +116,54 @@ def _has(bits: np.ndarray, d: bytes) -> bool:
     return bool(bits[s >> 5] >> np.uint32(s & 31) & np.uint32(1))
 
 
-def _packs(cuts: Cuts, repeated) -> Callable[[list[str]], dict]:
-    bits = repeated.value
+def _with_places(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str, repeated: DataFrame) -> DataFrame:
+    """docs (id, text) with places, the numbers of the chunks of a text that are repeated, by joining digests; a text is shuffled once."""
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keyed = docs.withColumn("key of text", key)
+    listed = spool(map_texts(keyed, "key of text", text_col, partial(_digests, cuts), LISTED).groupBy("key of text").agg(F.first("digests").alias("digests"), F.count(F.lit(1)).alias("copies")), "lists")
+    chunks = listed.select("key of text", F.posexplode("digests").alias("seq", "d"))
+    places = join_unique(chunks, repeated, "d", "n").groupBy("key of text").agg(F.collect_list("seq").alias("places"))
+    every = spool(listed.select("key of text", "copies").join(places, "key of text", "left").select("key of text", "copies", F.coalesce("places", F.expr("array()").cast("array<int>")).alias("places")), "places")
+    return spool(join_unique(keyed, every, "key of text", "copies").select(id_col, text_col, "places"), "placed")
 
-    def work(texts: list[str]) -> dict:
-        out: dict[str, list] = {"n_bytes": [], "sha": [], "header": [], "missing": [], "chunks": []}
-        for t in texts:
-            payload, n = payload_of(t)
-            pieces = cut(payload, cuts)
-            names = [digest(c) for c in pieces]
-            away = [_has(bits, d) for d in names]
-            out["n_bytes"].append(n)
-            out["sha"].append(digest(payload))
-            out["header"].append(wave_header(len(payload)))
-            out["missing"].append([{"seq": i, "d": d} for i, (d, a) in enumerate(zip(names, away)) if a])
-            out["chunks"].append([None if a else c for c, a in zip(pieces, away)])
-        return out
 
-    return work
+def _away(places: list[int] | None, bits: np.ndarray | None, names: list[bytes]) -> list[bool]:
+    """For each chunk of a payload whether it goes to the shared table."""
+    if places is None:
+        return [_has(bits, d) for d in names]
+    known = set(places)
+    return [i in known for i in range(len(names))]
+
+
+def _packs(batches: Iterator[pa.RecordBatch], cuts: Cuts, repeated, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows of id, text and places to packs."""
+    bits, arrow = repeated and repeated.value, None
+    for batch in batches:
+        arrow = arrow or arrow_schema(schema, batch.schema.field(0).type)
+        for a, b in groups(batch.column(1), 4_000_000):
+            rows = batch.slice(a, b - a)
+            out: dict[str, list] = {"n_bytes": [], "sha": [], "header": [], "missing": [], "chunks": []}
+            for t, places in zip(texts_of(rows.column(1)), rows.column(2).to_pylist()):
+                payload, n = payload_of(t)
+                pieces = cut(payload, cuts)
+                names = [digest(c) for c in pieces]
+                away = _away(places, bits, names)
+                out["n_bytes"].append(n)
+                out["sha"].append(digest(payload))
+                out["header"].append(wave_header(len(payload)))
+                out["missing"].append([{"seq": i, "d": d} for i, (d, x) in enumerate(zip(names, away)) if x])
+                out["chunks"].append([None if x else c for c, x in zip(pieces, away)])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(out[f.name], f.type) for f in list(arrow)[1:])], schema=arrow)
 
 
 def _shared(batches: Iterator[pa.RecordBatch], cuts: Cuts, repeated) -> Iterator[pa.RecordBatch]:
-    bits, seen = repeated.value, {}
+    bits, seen = repeated and repeated.value, {}
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            for c in cut(payload_of(t or "")[0], cuts):
-                if _has(bits, d := digest(c)):
+        for t, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pieces = cut(payload_of(t or "")[0], cuts)
+            names = [digest(c) for c in pieces]
+            for c, d, x in zip(pieces, names, _away(places, bits, names)):
+                if x:
                     seen[d] = (seen[d][0] + 1, c) if d in seen else (1, c)
             if len(seen) > 20_000:
                 yield _shared_batch(seen)
@@ -149,13 +184,22 @@ def store(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     ship(spark)
-    repeated = spark.sparkContext.broadcast(repeated_filter(docs, cuts, id_col, text_col))
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    twice = spool(repeated_digests(source, cuts, id_col, text_col), "repeated")
+    bits, bitmap = max(1 << 16, 1 << (SPARSE * twice.count()).bit_length()), None
+    if bits <= cuts.bits:
+        bitmap = spark.sparkContext.broadcast(filter_of(twice, bits))
+        placed = source.withColumn("places", F.lit(None).cast("array<int>"))
+    else:
+        placed = _with_places(source, cuts, id_col, text_col, twice)
     B = T.BinaryType()
     missing = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("d", B)]))
-    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("sha", B), T.StructField("header", B), T.StructField("missing", missing), T.StructField("chunks", T.ArrayType(B))]
-    packs = spool(map_texts(docs, id_col, text_col, partial(_packs, cuts, repeated), fields), "packs")
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(partial(_shared, cuts=cuts, repeated=repeated), "d binary, n long, chunk binary")
-    return packs, spool(parts.groupBy("d").agg(F.sum("n").alias("n"), F.first("chunk").alias("chunk")), "shared")
+    schema = T.StructType([T.StructField(id_col, source.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("sha", B), T.StructField("header", B), T.StructField("missing", missing), T.StructField("chunks", T.ArrayType(B))])
+    packs = spool(placed.mapInArrow(partial(_packs, cuts=cuts, repeated=bitmap, schema=schema), schema), "packs")
+    parts = placed.select(text_col, "places").mapInArrow(partial(_shared, cuts=cuts, repeated=bitmap), "d binary, n long, chunk binary")
+    shared = spool(parts.groupBy("d").agg(F.sum("n").alias("n"), F.first("chunk").alias("chunk")), "shared")
+    release(twice)
+    return packs, shared
 
 
 def describe(header: bytes, payload: bytes) -> tuple:
@@ -215,6 +259,7 @@ def load(packs: DataFrame, shared: DataFrame, id_col: str = "doc_id") -> DataFra
 def media_features(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every whole text of docs as 8-bit samples, read it back, and describe it: one row per input row.
 
-    A null text is empty: one unit of padding. Repeated rows and null ids keep their rows; extra columns are left behind.
+    A null text is empty: one unit of padding. Repeated rows and null ids keep their rows, equal texts get equal values; an empty table
+    gives an empty result; extra columns are left behind, whatever their names. A text of any length is held whole by one task at a time.
     """
     return load(*store(docs, cuts, id_col, text_col), id_col)

@@ -1,6 +1,7 @@
 """Edge cases and brute force of the operators that give one row per text."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -174,6 +175,28 @@ def test_media_round_trip(spark, edge_docs, no_docs):
     assert media_chunks.media_features(no_docs).collect() == []
 
 
+def test_filter_and_join_of_digests_give_the_same(spark, edge_docs):
+    a, b = (sorted(map(repr, media_chunks.media_features(edge_docs, media_chunks.Cuts(bits=bits)).collect())) for bits in (1 << 29, 0))
+    assert a == b
+    docs = spark.createDataFrame([(i, f"start {i} " * 40 + "w " * 3000 * (i % 2)) for i in range(20)] + [(50, "w " * 3000)] * 3, "doc_id long, text string")
+    for bits in (1 << 29, 0):
+        packs, shared = media_chunks.store(docs, media_chunks.Cuts(bits=bits))
+        digests = {media_chunks.digest(c) for r in packs.collect() for c in r.chunks if c is not None}
+        assert not digests & {bytes(r.d) for r in shared.collect()} and shared.count() < 60
+
+
+def test_features_by_plain_python(spark, edge_docs):
+    texts = {r.doc_id: r.text or "" for r in edge_docs.where("doc_id is not null").collect() if len(r.text or "") < 2000}
+    for r in media_chunks.media_features(edge_docs).collect():
+        if r.doc_id in texts:
+            data = texts[r.doc_id].encode()
+            data += b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+            low = [x < 128 for x in data]
+            assert r.feature == f"sum={sum(data)};energy={sum((x - 128) ** 2 for x in data)};crossings={sum(a != b for a, b in zip(low, low[1:]))}"
+            wave = b"RIFF" + (36 + len(data)).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("10000000010001" + "00401f0000401f00000100" + "0800") + b"data" + len(data).to_bytes(4, "little")
+            assert r.media_sha256 == hashlib.sha256(wave + data).hexdigest()
+
+
 def test_chunks_follow_content():
     r = random.Random(2)
     data = bytes(r.randrange(256) for _ in range(30_000))
@@ -244,3 +267,60 @@ def test_labels_outside_the_fit_change_nothing(spark, toxic):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
     assert np.array_equal(a.bucket_score, b.bucket_score)
+
+
+def score_by_hand(text, model):
+    """The score of a text by plain loops: FNV steps over n-grams, a rolled hash for whole words, a mean for each stretch."""
+    s, mask = model.settings, 0xFFFFFFFF
+    found = re.findall(r"[^\W_]+", text.lower())
+    if not found:
+        return model.base
+    z, parts = 0.0, -(-len(found) // s.stretch)
+    for k in range(parts):
+        total, grams = 0.0, 0
+        for word in set(found[len(found) * k // parts : len(found) * (k + 1) // parts]):
+            w = [ord(c) for c in f"<{word}>"]
+            slots = []
+            for n in range(s.low, s.high + 1):
+                for i in range(len(w) - n + 1):
+                    h = 2166136261
+                    for c in w[i : i + n]:
+                        h = (h ^ c) * 16777619 & mask
+                    x = h * (2654435769 + 2 * n & mask) & mask
+                    slots.append((x ^ x >> 15) & (s.buckets - 1))
+            x = sum(c * pow(31, i, 1 << 32) for i, c in enumerate(w)) * 2654435769 & mask
+            slots.append((x ^ x >> 13) & (s.buckets - 1))
+            total += sum(float(model.bucket_score[b]) for b in slots)
+            grams += len(slots)
+        z += total / (grams + s.pad)
+    return 1 / (1 + math.exp(-(model.bias + z / parts)))
+
+
+def test_scores_by_hand(spark, toxic):
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.limit(25).collect()] + ["", "  ", "É_é ß 日本 a", "x" * 5000, "vilescum " * 700]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        assert abs(r.score - score_by_hand(texts[r.doc_id], model)) < 1e-6
+
+
+def test_fit_is_bounded_and_repeats_change_nothing(spark, toxic):
+    from pyspark.sql import functions as F
+
+    docs, labels = toxic
+    want = toxicity.fit(docs, labels).bucket_score
+    many = docs.union(docs.where("doc_id < 40")).union(docs.where("doc_id = 7")).union(spark.createDataFrame([(10_001, "y " * (1 << 20))], docs.schema))
+    more = labels.union(labels.where("doc_id < 9")).union(spark.createDataFrame([(10_001, 1, 1)], labels.schema))
+    assert np.array_equal(want, toxicity.fit(many.repartition(5), more.repartition(3)).bucket_score)
+    few = toxicity.Settings(sample_bytes=5_000)
+    seen = []
+    real, toxicity.train = toxicity.train, lambda texts, y, s: seen.append(texts) or real(texts, y, s)
+    try:
+        toxicity.fit(docs, labels, few)
+    finally:
+        toxicity.train = real
+    assert 0 < sum(map(len, seen[0])) <= 5_000
+    model = toxicity.fit(docs, labels)
+    as_bytes = docs.withColumn("text", F.col("text").cast("binary"))
+    assert toxicity.reject_toxic(as_bytes, model).count() == toxicity.reject_toxic(docs, model).count() > 0
