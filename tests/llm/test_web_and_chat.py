@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import chat_format, url_filter, warc
 
@@ -57,6 +58,17 @@ def test_reputation_shrinks_hosts_to_their_domain(spark):
     assert got["new.bad.example"].rate > 0.5 > got["a.fine.example"].rate
 
 
+def test_domains_under_long_suffixes_are_apart(spark):
+    pages = [(i, f"http://www.{'bad' if i % 2 else 'good'}.co.in/{i}") for i in range(80)] + [(i, f"http://x.{'bad' if i % 2 else 'good'}.odd.example/{i}") for i in range(80, 160)]
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(160)], "page_id long, bad int")
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    for suffixes in (url_filter.LONG_SUFFIXES, ("odd.example",)):
+        got = {r.host: r.verdict for r in url_filter.judge_urls(table, outcomes, suffixes_of_two=suffixes).collect()}
+        assert got["www.bad.co.in"] == got["x.bad.odd.example"] == "block" and got["www.good.co.in"] == "allow"
+    host = spark.createDataFrame([("a.b.co.in",), ("co.in",), ("b.odd.example",), ("",)], "h string")
+    assert [tuple(r) for r in host.select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()] == [("b.co.in", "co.in"), ("co.in", "co.in"), ("odd.example", "example"), ("", "")]
+
+
 def read_back(data):
     return list(warc.parse_records(io.BytesIO(data)))
 
