@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate, near_dups, piece_codec, toxicity
-from plumbline.llm.common import spool, table
+from plumbline.llm.common import release, spool, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; only the output of one stage is kept in the shared folder at a time. No documents give no rows."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = spool(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
