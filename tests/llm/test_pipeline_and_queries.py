@@ -8,8 +8,8 @@ import pytest
 from samples import prose
 from pyspark.sql import functions as F
 
-from plumbline.llm import queries
-from plumbline.llm.common import connected_components, join_unique
+from plumbline.llm import common, queries
+from plumbline.llm.common import connected_components, join_unique, release, spool
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,6 +92,28 @@ def test_stages_keep_the_columns(spark, planted):
         assert stage(spark, docs.limit(0), planted).collect() == []
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_components_of_a_hub(spark):
+    hub = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(spark.range(200_001, 200_011).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    got = connected_components(hub)
+    assert got.groupBy("root").count().orderBy("root").collect() == [(0, 100_001), (200_001, 11)]
+
+
+def test_spooled_tables_are_deleted(spark):
+    import os
+
+    out = spool(spark.range(5), "kept")
+    folder = out.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and any(folder.endswith(k.removeprefix("file://")) for k in common._spooled)
+    release(out)
+    assert not os.path.exists(folder) and not any(folder.endswith(k.removeprefix("file://")) for k in common._spooled)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_over_their_whole_table(spark, name):
     out = queries.QUERIES[name](spark, SF)
