@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import keep_rows, map_texts, release, spool
+from plumbline.llm.common import keep_rows, map_texts, release, ship, spool
 
 WORD = re.compile(r"[^\W_]+")
 MEMO_ENTRIES = 300_000
@@ -182,31 +183,45 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows that aren't held out: all of them, or settings.sample with the least hash of the id.
+def sampled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """id, y, text: the written rows that the model is fitted on, settings.sample of them and settings.sample_bytes of text at most.
 
-    The bound holds for the fit alone. Null labels, null ids and labels without a document are left out. An id that is labelled more
-    than once is toxic if any label says so; of several texts of an id the one with the least digest counts. Of the chosen texts, in the order
-    of the hash, those are read that settings.sample_bytes has room for. So the fit is the same on every run and the driver reads a bounded
-    number of bytes. Without any labels every score is next to 0.
+    They are the labelled rows that aren't held out, in the order of the hash of their id. Null labels, null ids and labels without a document
+    are left out. An id that is labelled more than once is toxic if any label says so; of several texts of an id the one with the least
+    digest counts. So the rows are the same on every run.
     """
-    every = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col(id_col)))
-    marked = every.groupBy(id_col).agg(F.max("y").alias("y"))
-    chosen = marked.select(id_col, "y", F.xxhash64(id_col).alias("h")).orderBy("h", id_col).limit(settings.sample)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    short = docs.select(F.col(id_col), text.alias("text")).where(F.octet_length("text") <= settings.longest)
-    found = short.join(F.broadcast(chosen), id_col).groupBy(id_col, "y", "h").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    every = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    chosen = every.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(settings.sample)
+    short = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= settings.longest)
+    found = short.join(F.broadcast(chosen), "id").groupBy("id", "y", "h").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     found = spool(found.withColumn("size", F.octet_length("text")), "labelled")
-    room, last = settings.sample_bytes, None
-    for r in found.select("h", id_col, "size").orderBy("h", id_col).collect():
+    room, past = settings.sample_bytes, None
+    for r in found.select("h", "id", "size").orderBy("h", "id").collect():
         room -= r["size"]
         if room < 0:
+            past = r
             break
-        last = r
-    rows = found.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col(id_col) <= last[id_col])).select(id_col, "y", "text").collect() if last else []
-    release(found)
-    rows.sort(key=lambda r: r[0])
-    return train([r["text"] for r in rows], [r["y"] for r in rows], settings)
+    if past:
+        found = found.where((F.col("h") < past["h"]) | (F.col("h") == past["h"]) & (F.col("id") < past["id"]))
+    return found.select("id", "y", "text")
+
+
+def _trained(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+    model = train([t for _, _, t in rows], [y for _, y, _ in rows], settings)
+    yield pa.RecordBatch.from_arrays([pa.array([model.bucket_score.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.base])], names=["scores", "bias", "base"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """The model of the sampled rows. One task trains it, so the driver only reads sizes and the model; a lost task is run again to the same result.
+
+    The bound of the sample holds for the fit alone. Without any labels every score is next to 0.
+    """
+    ship(docs.sparkSession)
+    rows = sampled(docs, labels, settings, id_col, text_col, label_col)
+    found = rows.coalesce(1).mapInArrow(partial(_trained, settings=settings), "scores binary, bias double, base double").collect()
+    release(rows)
+    return Model(settings, np.frombuffer(found[0]["scores"], np.float32), found[0]["bias"], found[0]["base"]) if found else train([], [], settings)
 
 
 def _work(model) -> Callable[[list[str]], dict]:

@@ -313,14 +313,10 @@ def test_fit_is_bounded_and_repeats_change_nothing(spark, toxic):
     many = docs.union(docs.where("doc_id < 40")).union(docs.where("doc_id = 7")).union(spark.createDataFrame([(10_001, "y " * (1 << 20))], docs.schema))
     more = labels.union(labels.where("doc_id < 9")).union(spark.createDataFrame([(10_001, 1, 1)], labels.schema))
     assert np.array_equal(want, toxicity.fit(many.repartition(5), more.repartition(3)).bucket_score)
-    few = toxicity.Settings(sample_bytes=5_000)
-    seen = []
-    real, toxicity.train = toxicity.train, lambda texts, y, s: seen.append(texts) or real(texts, y, s)
-    try:
-        toxicity.fit(docs, labels, few)
-    finally:
-        toxicity.train = real
-    assert 0 < sum(map(len, seen[0])) <= 5_000
+    for room in (0, 5_000, 1 << 26):
+        sizes = [len(r.text) for r in toxicity.sampled(many, more, toxicity.Settings(sample_bytes=room)).collect()]
+        assert sum(sizes) <= room and bool(sizes) == bool(room)
+    assert len(sizes) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(900))
     model = toxicity.fit(docs, labels)
     as_bytes = docs.withColumn("text", F.col("text").cast("binary"))
     assert toxicity.reject_toxic(as_bytes, model).count() == toxicity.reject_toxic(docs, model).count() > 0
