@@ -8,7 +8,7 @@ could still be alike to a linked one.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import xxhash
@@ -73,7 +73,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _all_pairs(buckets: DataFrame) -> DataFrame:
     pairs = buckets.select("key", F.col("sid").alias("a")).join(buckets.select("key", F.col("sid").alias("b")), "key").where("a < b")
-    return pairs.select("a", "b", F.lit(0).alias("salt")).distinct()
+    return pairs.select("a", "b").distinct()
 
 
 def _crowded(buckets: DataFrame) -> DataFrame:
@@ -88,38 +88,33 @@ def similar_links(one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     that one band retrieves is then missed with a calculated probability of 0.00005.
     """
     buckets = spool(one.select("sid", F.explode("bands").alias("key")), "buckets")
-    gap, links = 100 - percent, []
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return compared(pairs, sets).where(F.col("shared") * 100 >= percent * F.col("total")).select("a", "b")
-
+    gap, met, todo = 100 - percent, [], []  # compared pairs, and pairs that are still to be compared
+    alike = F.col("shared") * 100 >= percent * F.col("total")
     for _ in range(PIVOTS):
         crowded = _crowded(buckets)
         if crowded.isEmpty():
             break
-        links.append(verified(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"))))
+        todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti")), "pairs"))
         spread = F.ceil(F.col("n") / SPREAD).cast("long")
         tried = spool(join_unique(buckets, crowded.withColumn("members", F.col("n")), "key", "members").where("sid <> pivot").select("key", F.col("pivot").alias("a"), F.col("sid").alias("b"), F.pmod(F.xxhash64("sid"), spread).alias("salt")), "tried")
-        met = spool(compared(tried.groupBy("a", "b").agg(F.min("salt").alias("salt")), sets), "met")
-        links.append(met.where(F.col("shared") * 100 >= percent * F.col("total")).select("a", "b"))
-        share = F.col("shared") * 100 / F.col("total")
-        placed = spool(tried.select("key", "a", "b").join(met.select("a", "b", share.alias("share")), ["a", "b"]).select("key", F.col("b").alias("sid"), "share"), "placed")
+        found = spool(compared(tried.groupBy("a", "b").agg(F.min("salt").alias("salt")), sets), "met")
+        met.append(found.where(alike).select("a", "b"))
+        share = (F.col("shared") * 100 / F.col("total")).alias("share")
+        placed = spool(tried.select("key", "a", "b").join(found.select("a", "b", share), ["a", "b"]).select("key", F.col("b").alias("sid"), "share"), "placed")
         rest = placed.where(F.col("share") < percent)
         ring = rest.where(F.col("share") >= percent - gap).select("key", F.col("sid").alias("a"), F.col("share").alias("outer"))
         near = placed.where(F.col("share") >= percent).select("key", F.col("sid").alias("b"), F.col("share").alias("inner"))
-        across = ring.join(near, "key").where(F.col("inner") <= F.col("outer") + gap + 1e-9).select("a", "b", F.lit(0).alias("salt")).distinct()
-        links.append(verified(across))
+        todo.append(spool(ring.join(near, "key").where(F.col("inner") <= F.col("outer") + gap + 1e-9).select("a", "b").distinct(), "across"))
         buckets = spool(rest.select("sid", "key"), "buckets")
     else:
         crowded = _crowded(buckets)
-        links.append(verified(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"))))
+        todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti")), "pairs"))
         apart = join_unique(buckets, crowded.select("key", "n"), "key", "n").join(one.select("sid", F.explode("bands").alias("other")), "sid").where("other <> key")
-        buckets = apart.select("sid", F.xxhash64("key", "other").alias("key"))
-    links.append(verified(_all_pairs(buckets)))
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return spool(out, "links")
+        buckets = spool(apart.select("sid", F.xxhash64("key", "other").alias("key")), "buckets")
+    todo.append(spool(_all_pairs(buckets), "pairs"))
+    pairs = spool(reduce(DataFrame.unionByName, todo).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("salt", F.lit(0)), "pairs")
+    met.append(compared(pairs, sets).where(alike).select("a", "b"))
+    return spool(reduce(DataFrame.unionByName, met), "alike")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
