@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import in_order
 from plumbline.functions.text import ratio
 
 DEFINITE, ABSTAINED = ("INCONSISTENT", "CONSISTENT"), ("UNCERTAIN", "SKIPPED")
@@ -137,16 +140,19 @@ def request_bound(samples: DataFrame, methods: int, most: int) -> DataFrame:
 
 def reserve(requests: DataFrame, keys: list[str], order: str, cost: str, most_requests: int, most_tokens: int) -> DataFrame:
     """requests with granted: in order, each takes one request and its cost if both still fit; a refused one takes nothing."""
-    rows = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("rows"))
-    order_type = requests.schema[order].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{order_type},ok:boolean>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        ok = (acc["n"] < most_requests) & (acc["used"] + r["c"] <= most_tokens)
-        return F.struct((acc["n"] + F.when(ok, 1).otherwise(0).cast("long")).alias("n"), (acc["used"] + F.when(ok, r["c"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(acc["out"], F.array(F.struct(r["o"].alias("o"), ok.alias("ok")))).alias("out"))
+    def start() -> Callable[[int], bool]:
+        n = used = 0
+
+        def take(c: int) -> bool:
+            nonlocal n, used
+            ok = n < most_requests and used + c <= most_tokens
+            n, used = n + ok, used + c * ok
+            return ok
+
+        return take
 
-    given = rows.select(*keys, F.explode(F.aggregate("rows", zero, step)["out"]).alias("r")).select(*keys, F.col("r.o").alias(order), F.col("r.ok").alias("granted"))
-    return requests.join(given, [*keys, order])
+    return requests.join(in_order(requests, keys, order, cost, "granted", start), [*keys, order])
 
 
 def recheck(saved: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame:

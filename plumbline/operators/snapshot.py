@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.functions.tables import in_order
 
 MAX_FILE, MAX_TOTAL = 1 << 20, 50 << 20
 
@@ -30,18 +33,22 @@ def file_verdict(path: Column, size: Column, mode: Column | None = None, content
 def admit(files: DataFrame, max_total: int = MAX_TOTAL, keys: list[str] | None = None, path: str = "path", size: str = "size") -> DataFrame:
     """files with admitted: in path order a file is taken if it still fits; one that doesn't takes nothing from the budget.
 
-    This is a fold, not a running sum: sizes of one repository (keys) meet in one sorted array of numbers, contents don't.
+    This is a fold, not a running sum: the sizes of one repository (keys) go by one after another, contents don't.
     """
     keys = keys or ["repo_id"]
-    rows = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(size).cast("long").alias("n")))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<p:string,ok:boolean>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        fits = acc["used"] + r["n"] <= max_total
-        return F.struct((acc["used"] + F.when(fits, r["n"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(acc["out"], F.array(F.struct(r["p"].cast("string").alias("p"), fits.alias("ok")))).alias("out"))
+    def start() -> Callable[[int], bool]:
+        used = 0
+
+        def take(n: int) -> bool:
+            nonlocal used
+            fits = used + n <= max_total
+            used += n * fits
+            return fits
+
+        return take
 
-    ok = rows.select(*keys, F.explode(F.aggregate("rows", zero, step)["out"]).alias("r")).select(*keys, F.col("r.p").alias(path), F.col("r.ok").alias("admitted"))
-    return files.join(ok, [*keys, path])
+    return files.join(in_order(files, keys, path, size, "admitted", start), [*keys, path])
 
 
 def changed_paths(base: DataFrame, head: DataFrame, keys: list[str], digest: str) -> DataFrame:

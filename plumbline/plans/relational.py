@@ -123,7 +123,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _SYMBOLS = """
 f AS (SELECT 'f' || lpad(p_partkey::VARCHAR, 9, '0') AS fact_id, 'm' || p_partkey % 97 || '.' || replace(p_name, ' ', '.') AS subject, p_type AS property, 's' || p_size % 3 AS path, p_partkey FROM part),
 c AS (SELECT p_partkey::VARCHAR AS claim_id, CASE WHEN p_partkey % 41 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '.') WHEN p_partkey % 3 = 1 THEN split_part(p_name, ' ', -1) ELSE 'm' || p_partkey % 97 || '.' || replace(p_name, ' ', '.') END AS subject,
-  p_type AS predicate, CASE WHEN p_partkey % 4 = 0 THEN 's' || p_size % 3 END AS hint FROM part WHERE p_partkey % 10 = 0)"""
+  p_type AS predicate, CASE WHEN p_partkey % 4 = 0 THEN 's' || p_size % 3 END AS hint FROM part)"""
 
 
 def align_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +304,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECALL_AT_K = """
-WITH r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_retailprice, p_partkey) AS rank FROM part), t AS (SELECT p_partkey, CASE WHEN p_partkey % 30 <> 0 THEN rank END AS r FROM r WHERE p_partkey % 10 = 0)
+WITH r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_retailprice, p_partkey) AS rank FROM part), t AS (SELECT p_partkey, CASE WHEN p_partkey % 30 <> 0 THEN rank END AS r FROM r)
 SELECT k::INT AS k, count(*) FILTER (r <= k) AS hits, count(*) AS targets, round(count(*) FILTER (r <= k)::DOUBLE / count(*), 9) AS recall FROM t, (VALUES (1), (3), (5), (10)) v(k) GROUP BY k"""
 
 
@@ -350,8 +350,9 @@ SELECT user_id % 7 AS method, count(*) FILTER (event_type = 'click') AS click, c
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order with a returned item is a finding, any other one an open judgment."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderpriority").alias("title"), viewer.category(F.col("o_orderstatus") == "P", F.when(F.col("o_orderstatus") == "F", "VERIFIED"), F.when(F.col("o_custkey") % 3 == 0, "UNCERTAIN")).alias("category"))
-    items = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("claim_id"), F.col("l_returnflag").alias("title"), F.lit("confirmed").alias("category")).distinct()
+    items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.max(F.when(F.col("l_returnflag") == "R", F.col("l_linestatus"))).alias("title")).where("title IS NOT NULL").withColumn("category", F.lit("confirmed"))
     return viewer.records(items, orders)
 
 
@@ -360,8 +361,8 @@ def viewer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RECORDS = """r AS (
-  SELECT DISTINCT l_orderkey AS claim_id, l_returnflag AS title, 'confirmed' AS category, 'finding' AS kind FROM lineitem WHERE l_linenumber = 1
-  UNION ALL SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'ignored' WHEN o_orderstatus = 'F' THEN 'confirmed' WHEN o_custkey % 3 = 0 THEN 'uncertain' ELSE 'other' END, 'judgment' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1))"""
+  SELECT l_orderkey AS claim_id, max(l_linestatus) AS title, 'confirmed' AS category, 'finding' AS kind FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey
+  UNION ALL SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'ignored' WHEN o_orderstatus = 'F' THEN 'confirmed' WHEN o_custkey % 3 = 0 THEN 'uncertain' ELSE 'other' END, 'judgment' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))"""
 VIEWER_RECORDS = f"WITH {_RECORDS} SELECT * FROM r"
 
 
@@ -398,7 +399,7 @@ SELECT array_to_string(w[1:depth], '/') AS node, depth::INT AS depth, count(*) A
 
 def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    run = lambda name, where: e.where(where).agg(F.struct(F.lit("r").alias("repo_id"), F.lit("h").alias("head_sha"), F.lit("rules").alias("mode"), F.lit("c").alias("config_hash"), F.collect_list("event_type").alias("enabled_types"), F.lit(name).alias("run_id")).alias(name), F.count(F.lit(1)).alias(f"{name}_events"))
+    run = lambda name, where: e.where(where).agg(F.struct(F.lit("r").alias("repo_id"), F.lit("h").alias("head_sha"), F.lit("rules").alias("mode"), F.lit("c").alias("config_hash"), F.collect_set("event_type").alias("enabled_types"), F.lit(name).alias("run_id")).alias(name), F.count(F.lit(1)).alias(f"{name}_events"))
     pairs = run("a", "event_id % 2 = 0").crossJoin(run("b", "event_id % 2 = 1")).crossJoin(run("c", "event_type <> 'view'"))
     return pairs.select(viewer.comparable("a", "b").alias("a_b"), viewer.comparable("a", "c").alias("a_c"), viewer.comparable("a", "a").alias("a_a"), (F.col("b_events") - F.col("a_events")).alias("grown"))
 
@@ -461,10 +462,10 @@ SELECT o_orderkey AS entity_id, o_orderstatus, (SELECT arg_min(l_partkey, row(l_
 
 
 def source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.over_cap(read(spark, sf_dir, "documents").where("lang = 'en'"), "source", 4)
+    return metrics.over_cap(read(spark, sf_dir, "documents"), "source", 4)
 
 
-SOURCE_CAP = "SELECT source, count(*) AS samples FROM documents WHERE lang = 'en' GROUP BY source HAVING count(*) > 4"
+SOURCE_CAP = "SELECT source, count(*) AS samples FROM documents GROUP BY source HAVING count(*) > 4"
 
 
 def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,7 +475,7 @@ def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUEST_BUDGET = """
-WITH RECURSIVE c AS (SELECT user_id, event_id, trunc(value * 10)::BIGINT AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id < 200 * 150 AND user_id < 100),
+WITH RECURSIVE c AS (SELECT user_id, event_id, trunc(value * 10)::BIGINT AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 w(user_id, n, k, used, ok) AS (
   SELECT user_id, n, CASE WHEN tokens <= 5000 THEN 1 ELSE 0 END, CASE WHEN tokens <= 5000 THEN tokens ELSE 0 END, tokens <= 5000 FROM c WHERE n = 1
   UNION ALL SELECT c.user_id, c.n, w.k + CASE WHEN w.k < 20 AND w.used + c.tokens <= 5000 THEN 1 ELSE 0 END, w.used + CASE WHEN w.k < 20 AND w.used + c.tokens <= 5000 THEN c.tokens ELSE 0 END, w.k < 20 AND w.used + c.tokens <= 5000 FROM w JOIN c ON c.user_id = w.user_id AND c.n = w.n + 1)

@@ -1,5 +1,7 @@
 """Queries over every row of their tables, against brute force on small fixtures."""
 
+from plumbline.operators import snapshot
+from plumbline.operators.exports import module_closure
 from plumbline.plans import relational
 
 
@@ -60,3 +62,23 @@ def test_recall_scores_every_part(spark, tmp_path):
             ranks.append(1 + sum((p, x) < (price, k) for x, _, t, s, p in rows if (t, s) == (kind, size)))
     want = {k: (sum(r <= k for r in ranks), 120, round(sum(r <= k for r in ranks) / 120, 9)) for k in (1, 3, 5, 10)}
     assert {r.k: (r.hits, r.targets, r.recall) for r in relational.recall_at_k(spark, str(tmp_path)).collect()} == want
+
+
+def test_closure_of_a_complete_graph(spark):
+    edges = spark.range(30).selectExpr("id a").crossJoin(spark.range(30).selectExpr("id b")).where("a <> b").union(spark.createDataFrame([(29, 40), (40, 41), (41, 41), (50, None)], "a long, b long"))
+    got = {(r.source, r.target): r.hops for r in module_closure(edges, "a", "b").collect()}
+    want = {(str(a), str(b)): 1 for a in range(30) for b in range(30) if a != b} | {("40", "41"): 1, ("41", "41"): 1}
+    want |= {(str(a), "40"): 1 if a == 29 else 2 for a in range(30)} | {(str(a), "41"): 2 if a == 29 else 3 for a in range(30)}
+    assert got == want
+    assert module_closure(edges.limit(0), "a", "b").collect() == []
+
+
+def test_folds_are_linear_and_in_order(spark):
+    files = spark.range(60_000).selectExpr("'r' repo_id", "lpad(cast(id as string), 9, '0') path", "id % 7 size").union(spark.createDataFrame([("s", "b", 5), ("s", "a", 9), ("s", "c", 1)], "repo_id string, path string, size long"))
+    got = {(r.repo_id, r.path): r.admitted for r in snapshot.admit(files, max_total=100).collect()}
+    used, want = 0, {}
+    for i in range(60_000):
+        want["r", f"{i:09d}"] = used + i % 7 <= 100
+        used += i % 7 * want["r", f"{i:09d}"]
+    assert got == want | {("s", "a"): True, ("s", "b"): True, ("s", "c"): True}
+    assert snapshot.admit(files.limit(0)).collect() == []
