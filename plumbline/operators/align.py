@@ -1,4 +1,4 @@
-"""Which facts a claim is about: dotted-suffix matches, as an equality join over the suffixes of every fact's subject."""
+"""Which facts a claim is about: dotted-suffix matches, as an equality join with aggregates over the suffixes of every fact's subject."""
 
 from __future__ import annotations
 
@@ -6,29 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import written
 from plumbline.functions.text import dotted_suffixes
 
 CLAIM = ["repo_id", "claim_id"]
 
 
+NAME = ["repo_id", "predicate", "subject"]
+
+
+def _tops(facts: DataFrame, top_k: int) -> DataFrame:
+    """NAME, hinted, path, exact, matches, ids: for each name that a claim may use the number and the first top_k ids of its facts.
+
+    Once over all files (hinted false, path empty) and once for each file. A name has one row of each kind however many facts it has, so claims
+    of a common name never meet its facts one by one; only numbers and top_k ids of each name leave the aggregation.
+    """
+    spelled = facts.select(F.col("repo_id"), F.col("property").alias("predicate"), F.explode(F.array_distinct(dotted_suffixes(F.col("subject")))).alias("subject"), F.col("subject").alias("own"), "fact_id", F.col("span.path").alias("at"))
+    spelled = spelled.where("subject <> ''").select(*NAME, (F.col("own") == F.col("subject")).alias("exact"), "fact_id", F.explode(F.array(F.struct(F.lit(False).alias("hinted"), F.lit("").alias("path")), F.struct(F.lit(True).alias("hinted"), F.coalesce("at", F.lit("")).alias("path")))).alias("place"))
+    kind = [*NAME, "hinted", "path", "exact"]
+    spelled = spelled.select(*NAME, "exact", "fact_id", "place.*")
+    first = spelled.withColumn("n", F.row_number().over(W.partitionBy(*kind).orderBy("fact_id"))).where(F.col("n") <= top_k)
+    first = first.groupBy(*kind).agg(F.array_sort(F.collect_list("fact_id")).alias("ids"))
+    return spelled.groupBy(*kind).agg(F.count(F.lit(1)).alias("matches")).join(first, kind)
+
+
 def align(claims: DataFrame, facts: DataFrame, top_k: int = 5) -> DataFrame:
     """Rows of claims with fact (struct, null without a match), rank from 1, matches (their number before top_k) and reason.
 
     A claim's subject equals a fact's subject or its end from a dot on. Equal subjects rule out suffix matches; only then the claim's
     source hint applies. Ambiguity is counted over all matches, so top_k never makes one certain. A claim without a subject has none.
+    Facts are told apart by repo_id and fact_id.
     """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
-    spelled = facts.select(F.col("repo_id"), F.col("property").alias("predicate"), F.explode(F.array_distinct(dotted_suffixes(F.col("subject")))).alias("subject"), F.struct(*facts.columns).alias("fact"))
-    pairs = claims.join(spelled.where("subject <> ''"), ["repo_id", "predicate", "subject"], "left")
-    one = W.partitionBy(*CLAIM)
-    exact = F.col("fact.subject") == F.col("subject")
-    fits = F.col("fact").isNotNull() & (exact | ~F.col("any_exact")) & (F.col("source_hint").isNull() | (F.col("fact.span.path") == F.col("source_hint")))
-    marked = pairs.withColumn("any_exact", F.coalesce(F.max(exact).over(one), F.lit(False))).withColumn("fits", F.coalesce(fits, F.lit(False)))
-    ranked = marked.withColumn("matches", F.sum(F.col("fits").cast("int")).over(one)).withColumn("rank", F.row_number().over(one.orderBy(F.col("fits").desc(), F.col("fact.fact_id"))))
-    kept = ranked.where((F.col("fits") & (F.col("rank") <= top_k)) | ((F.col("matches") == 0) & (F.col("rank") == 1)))
+    tops = written(_tops(facts, top_k), "names")
+    exact = tops.where("exact AND NOT hinted").select(*NAME, F.lit(True).alias("any_exact"))
+    asked = claims.join(exact, NAME, "left").withColumn("any_exact", F.coalesce("any_exact", F.lit(False))).withColumn("hinted", F.col("source_hint").isNotNull()).withColumn("path", F.coalesce("source_hint", F.lit("")))
+    found = asked.join(tops.withColumnRenamed("exact", "any_exact"), [*NAME, "any_exact", "hinted", "path"], "left")
+    ranked = found.select(*claims.columns, F.coalesce("matches", F.lit(0)).alias("matches"), F.posexplode_outer("ids").alias("place", "_id"))
+    whole = facts.select(F.col("repo_id").alias("_r"), F.col("fact_id").alias("_f"), F.struct(*facts.columns).alias("fact"))
+    joined = ranked.join(whole, (F.col("repo_id") == F.col("_r")) & (F.col("_id") == F.col("_f")), "left")
     reason = F.when(F.col("matches") > 1, "AMBIGUOUS").when(F.col("matches") == 1, "MATCH").otherwise("NO_CANDIDATE")
-    return kept.select(*claims.columns, F.when(F.col("fits"), F.col("fact")).alias("fact"), "rank", "matches", reason.alias("reason"))
+    return joined.select(*claims.columns, "fact", (F.coalesce("place", F.lit(0)) + 1).alias("rank"), "matches", reason.alias("reason"))
 
 
 def align_by_property(claims: DataFrame, facts: DataFrame, top_k: int = 5) -> DataFrame:

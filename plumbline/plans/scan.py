@@ -65,9 +65,12 @@ def scan(files: DataFrame, config: Config = Config()) -> Report:
     if config.method == "no_verifier":
         verified = judged.where("decision = 'INCONSISTENT'").withColumn("reject", F.lit(None).cast("string"))
     else:
-        fresh = extract_code(files, store=config.exports)
+        # files are parsed again once, and only documents in doubt and the code of their repositories
+        doubt = written(judged.where("decision = 'INCONSISTENT'").select("repo_id", F.col("span.path").alias("path")).distinct(), "doubt")
+        fresh = extract_code(files.join(doubt.select("repo_id").distinct(), "repo_id", "left_semi"), store=True)
         fresh_facts = with_exports(fresh.facts, fresh.imports) if config.exports else fresh.facts
-        verified = verify.verify(judged, files, extract_claims(files).claims, fresh_facts)
+        fresh_claims = extract_claims(files.join(doubt, ["repo_id", "path"], "left_semi"), store=True).claims
+        verified = verify.verify(judged, files, fresh_claims, fresh_facts)
     heads = files.select("repo_id", "head_sha").distinct()
     found = verify.findings(verified.join(heads, "repo_id"), F.col("head_sha"))
     found = ignore.apply_rules(found, config.ignores, config.scan_date)

@@ -1,6 +1,7 @@
 """Queries over every row of their tables, against brute force on small fixtures."""
 
 from plumbline.operators import snapshot
+from plumbline.operators.align import align
 from plumbline.operators.exports import module_closure
 from plumbline.plans import relational
 
@@ -82,3 +83,13 @@ def test_folds_are_linear_and_in_order(spark):
         used += i % 7 * want["r", f"{i:09d}"]
     assert got == want | {("s", "a"): True, ("s", "b"): True, ("s", "c"): True}
     assert snapshot.admit(files.limit(0)).collect() == []
+
+
+def test_a_common_name_is_not_aligned_pair_by_pair(spark):
+    facts = spark.range(10_000).selectExpr("'r' repo_id", "'f' || lpad(cast(id as string), 9, '0') fact_id", "'m' || id || '.item' subject", "'size' property", "named_struct('path', 'p' || id % 3) span", "cast(id as int) seq")
+    claims = spark.range(10_000).selectExpr("'r' repo_id", "cast(id as string) claim_id", "case when id = 7 then 'm7.item' when id = 8 then '' else 'item' end subject", "'size' predicate", "case when id % 2 = 0 then 'p' || id % 4 end source_hint")
+    out = align(claims, facts, 2)
+    got = out.groupBy("matches", "reason").count().collect()
+    assert {(r.matches, r["count"]) for r in got} == {(10_000, 2 * 4_999), (3_334, 2 * 2_499), (3_333, 2 * 2_500), (1, 1), (0, 1)}
+    rows = {r.claim_id: (r.fact.fact_id, r["rank"]) for r in out.where("claim_id in ('1', '7') and rank = 1").collect()}
+    assert rows == {"1": ("f000000000", 1), "7": ("f000000007", 1)}
