@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -102,6 +104,36 @@ class Provider(Protocol):
     def judge(self, claim: dict, facts: list[dict]) -> dict: ...
 
 
+def wait_seconds(attempt: int) -> int:
+    return min(2**attempt, 4)
+
+
+@dataclass
+class Retrying:
+    """A provider that asks again after ConnectionError or TimeoutError, waiting longer each time, attempts times in all."""
+
+    provider: Provider
+    attempts: int = 3
+    sleep: Callable[[float], None] = time.sleep
+
+    def judge(self, claim: dict, facts: list[dict]) -> dict:
+        for attempt in range(self.attempts):
+            try:
+                return self.provider.judge(claim, facts)
+            except (ConnectionError, TimeoutError):
+                if attempt == self.attempts - 1:
+                    raise
+                self.sleep(wait_seconds(attempt))
+        raise ValueError("attempts must be at least 1")
+
+
+def with_answers(judged: DataFrame, answers: DataFrame) -> DataFrame:
+    """judged with decision, reason_code and fact_ids of answers where there is one; only the first candidate may carry a conflict."""
+    said = answers.select("repo_id", "claim_id", F.struct("decision", "reason_code", "fact_ids").alias("_said"))
+    joined = judged.join(said, ["repo_id", "claim_id"], "left")
+    return joined.select(*[F.coalesce(F.col(f"_said.{c}"), F.col(c)).alias(c) if c in ("decision", "reason_code", "fact_ids") else F.col(c) for c in judged.columns])
+
+
 def judge_with_provider(aligned: DataFrame, make: Callable[[], Provider]) -> DataFrame:
     """repo_id, claim_id, decision, reason_code, fact_ids by an external judge; answers that cite other facts are refused.
 

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.text import escape_html, indent
 from plumbline.operators import metrics
 from plumbline.operators.ignore import status_text
+from plumbline.operators.snapshot import files_hash
 from plumbline.sources.git import SourceError
 
 TABLES = tuple("candidates claims diagnostics entities facts findings judgments rejected".split())
 
 
-def summary(report) -> DataFrame:
+def summary(report, fail_on: str = "confirmed", require_complete: bool = False) -> DataFrame:
     """repo_id, status, facts, claims, confirmed, ignored, uncertain, exit_code: one row for each repository."""
     count = lambda df, name, c=F.lit(True): df.groupBy("repo_id").agg(F.count_if(c).alias(name))
     open_ = report.judgments.where("decision = 'UNCERTAIN'").select("repo_id", "claim_id").union(report.rejected.select("repo_id", "claim_id"))
@@ -24,7 +25,7 @@ def summary(report) -> DataFrame:
     for part in (count(report.facts, "facts"), count(report.claims, "claims"), count(report.findings, "confirmed", ~F.col("ignored")), count(report.findings, "ignored", F.col("ignored")), open_.groupBy("repo_id").agg(F.count_distinct("claim_id").alias("uncertain"))):
         out = out.join(part, "repo_id", "left")
     out = out.na.fill(0)
-    return out.withColumn("exit_code", metrics.exit_code(F.col("status"), F.col("confirmed")))
+    return out.withColumn("exit_code", metrics.exit_code(F.col("status"), F.col("confirmed"), fail_on, require_complete))
 
 
 def _section(facts_subject: Column, facts_property: Column) -> Column:
@@ -58,9 +59,73 @@ def markdown(report) -> DataFrame:
     return s.select("repo_id", text.alias("text"))
 
 
+def holds_something(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder of any filesystem that Spark writes to exists and isn't empty."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(path) and len(system.listStatus(path)) > 0
+
+
+#: Sections of a report file and the tables that they come from.
+SECTIONS = {n: n for n in ("entities", "facts", "claims", "candidates", "judgments", "findings", "rejected")}
+VERSIONS = ("1.0", "2.0")
+MOST_IMPORTED = 10 << 20
+
+
+def to_json(report, repo_id: str, config_hash: str = "", stage_seconds: dict[str, float] | None = None) -> dict:
+    """The report of one repository as one document, for people and viewers: manifest, snapshot, and every section as a list."""
+    rows = lambda df: [json.loads(r) for r in df.where(F.col("repo_id") == repo_id).toJSON().collect()]
+    files = report.files.where(F.col("repo_id") == repo_id).select("repo_id", "head_sha", "path", F.sha2("content", 256).alias("blob_hash"))
+    heads = [r[0] for r in report.repositories.where(F.col("repo_id") == repo_id).select("head_sha").collect()]
+    status = report.status.where(F.col("repo_id") == repo_id).first()
+    digest = files_hash(files).first()
+    manifest = {"schema_version": "2.0", "run_id": f"{repo_id}-{config_hash[:12]}", "config_hash": config_hash, "mode": "rules", "status": status["status"] if status else "FAILED", "stage_seconds": stage_seconds or {}, "diagnostics": rows(report.diagnostics)}
+    at = {"repo_id": repo_id, "head_sha": heads[0] if heads else None, "files_hash": digest["files_hash"] if digest else None, "files": [{"path": r["path"], "blob_hash": r["blob_hash"]} for r in files.orderBy("path").collect()]}
+    return {"schema_version": "2.0", "manifest": manifest, "snapshot": at} | {n: rows(getattr(report, t)) for n, t in SECTIONS.items()}
+
+
+def read_json(spark: SparkSession, path: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """The sections of a report file as tables, and manifest (one row): strict about size, version, keys and types.
+
+    A report of version 1.0 has no provenance; its facts get an empty one. Anything else out of place raises SourceError INVALID_REPORT.
+    """
+    found = spark.read.format("binaryFile").load(path).select("length", "content").first()
+    if found["length"] > MOST_IMPORTED:
+        raise SourceError("INVALID_REPORT", f"{found['length']} bytes, {MOST_IMPORTED} are allowed")
+    try:
+        raw = json.loads(bytes(found["content"]))
+    except ValueError as e:
+        raise SourceError("INVALID_REPORT", f"not JSON: {e}") from e
+    if not isinstance(raw, dict) or raw.get("schema_version") not in VERSIONS:
+        raise SourceError("INVALID_REPORT", "unknown schema_version")
+    wrong = set(raw) ^ {"schema_version", "manifest", "snapshot", *SECTIONS}
+    if wrong - ({"patches"} & set(raw)):
+        raise SourceError("INVALID_REPORT", f"missing or unknown sections {sorted(wrong)}")
+    out = {}
+    for name in SECTIONS:
+        schema, rows = schemas[name], raw[name]
+        if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+            raise SourceError("INVALID_REPORT", f"{name} isn't a list of objects")
+        unknown = {k for r in rows for k in r} - set(schema.names)
+        if unknown:
+            raise SourceError("INVALID_REPORT", f"{name}: unknown keys {sorted(unknown)}")
+        if name == "facts" and raw["schema_version"] == "1.0":
+            rows = [{"provenance": []} | r for r in rows]
+        lines = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+        table = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+        try:
+            table.write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            raise SourceError("INVALID_REPORT", f"{name}: a value of another type") from e
+        out[name] = table
+    m = raw["manifest"]
+    out["manifest"] = spark.createDataFrame([(m.get("run_id"), m.get("status"), m.get("mode"), m.get("config_hash"))], "run_id string, status string, mode string, config_hash string")
+    return out
+
+
 def write(report, folder: str, formats: tuple[str, ...] = ("parquet",)) -> None:
     """Every table under its name, and the summary; a folder that holds something is never written over."""
-    if Path(folder).exists() and any(Path(folder).iterdir()):
+    if holds_something(report.files.sparkSession, folder):
         raise SourceError("OUTPUT_EXISTS", folder)
     for name in TABLES:
         df = getattr(report, name)

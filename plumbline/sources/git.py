@@ -6,6 +6,7 @@ anything; contents are read by the executors in batches, one process of git for
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -120,13 +121,31 @@ def read_repository(spark: SparkSession, repo: str, ref: str = "HEAD", repo_id:
     return loaded.select(F.lit(name).alias("repo_id"), "head_sha", "path", "content", "mode", "size")
 
 
-def read_working_tree(spark: SparkSession, repo: str, repo_id: str = "working-tree") -> DataFrame:
-    """files of the tracked and the new unignored paths as they lie on disk."""
+def working_paths(repo: str) -> list[tuple[str, str | None, str | None]]:
+    """path, mode (100644, 120000 for links and what lies behind one, null if missing) and link target of tracked and new unignored files."""
+    root, out = os.path.realpath(repo), []
+    for p in sorted({x.decode(errors="surrogateescape") for x in run_git(repo, "ls-files", "--exclude-standard", "--others", "--cached", "-z").split(b"\0") if x}):
+        full = os.path.join(root, p)
+        if not os.path.lexists(full):
+            out.append((p, None, None))
+        else:
+            out.append((p, "100644" if os.path.realpath(full) == full else "120000", os.readlink(full) if os.path.islink(full) else None))
+    return out
+
+
+def read_working_tree(spark: SparkSession, repo: str, repo_id: str = "working-tree", suffixes: str = "") -> DataFrame:
+    """files of the tracked and the new unignored paths as they lie on disk, with mode and size.
+
+    Links aren't followed: they have mode 120000 and their target's name as content, as in a commit. Missing files have no mode.
+    """
     sha = resolve_ref(repo, "HEAD")
-    paths = sorted(p.decode() for p in run_git(repo, "ls-files", "--exclude-standard", "--others", "--cached", "-z").split(b"\0") if p)
-    root = repo.rstrip("/")
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    on_disk = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
+    root = os.path.realpath(repo)
+    ends = tuple(s for s in suffixes.split(",") if s)
+    rows = [r for r in working_paths(repo) if r[0].endswith(ends)] if ends else working_paths(repo)
+    listed = spark.createDataFrame(rows, "path string, mode string, link string")
+    on_disk = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(f"*{e}" for e in ends) + "}" if ends else "*").load(f"file://{root}")
     on_disk = on_disk.select(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "/").alias("full"), "content", F.col("length").alias("size"))
     on_disk = on_disk.select(F.substring("full", len(root) + 2, 2147483647).alias("path"), "content", "size")
-    return on_disk.join(listed, "path", "left_semi").select(F.lit(repo_id).alias("repo_id"), F.lit(sha).alias("head_sha"), "path", "content", F.lit("100644").alias("mode"), "size")
+    read = listed.join(on_disk, "path", "left")
+    content = F.when(F.col("mode") == "100644", F.col("content")).otherwise(F.col("link").cast("binary"))
+    return read.select(F.lit(repo_id).alias("repo_id"), F.lit(sha).alias("head_sha"), "path", content.alias("content"), "mode", F.coalesce("size", F.lit(0)).alias("size"))
