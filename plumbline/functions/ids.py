@@ -49,3 +49,13 @@ def stable_id_column(*parts: Column) -> Column:
 def git_blob_id(content: Column) -> Column:
     """The object id under which git stores these bytes."""
     return F.sha1(F.concat(F.concat(F.lit("blob "), F.length(content).cast("string")).cast("binary"), F.unhex(F.lit("00")), content))
+
+
+def text_hash(text: Column) -> Column:
+    """SHA-256 of a text that is the same whether its lines end in CR LF or LF."""
+    return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")).cast("binary"), 256)
+
+
+def base_hashes(path: Column, digest: Column) -> Column:
+    """Aggregate: a map from each path to its digest."""
+    return F.map_from_entries(F.array_sort(F.collect_set(F.struct(path.alias("p"), digest.alias("d")))))

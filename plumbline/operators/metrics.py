@@ -161,3 +161,28 @@ def recheck(saved: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame
     a, b = saved.select(*keys, F.struct(*values).alias("a")), computed.select(*keys, F.struct(*values).alias("b"))
     differs = F.array_compact(F.array(*[F.when(~F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}")), v) for v in values]))
     return a.join(b, keys, "full_outer").select(*keys, F.explode(differs).alias("metric"))
+
+
+def compare_methods(runs: DataFrame, method: str, status: str, states: list[str], usage: str, digits: int = 2) -> DataFrame:
+    """method, a count for each of states, and usage: one row for each method, in one aggregation."""
+    counts_of = [F.count_if(F.col(status) == s).alias(s) for s in states]
+    return runs.groupBy(method).agg(*counts_of, F.round(F.sum(F.col(usage).cast("decimal(18,4)")), digits).cast("double").alias("usage"))
+
+
+def suite_issues(plans: DataFrame, key: str = "suite_id") -> DataFrame:
+    """key, issue of suites that mustn't be run: samples that aren't adjudicated, repeated methods, cached answers, a budget under the bound.
+
+    plans: key, methods (array), statuses (array of the samples' annotation), cached, requests (the bound) and budget.
+    """
+    checks = [
+        F.when(F.exists("statuses", lambda x: ~x.eqNullSafe(F.lit("adjudicated"))), "NOT_ADJUDICATED"),
+        F.when((F.size("methods") == 0) | (F.size(F.array_distinct("methods")) < F.size("methods")), "METHODS"),
+        F.when(F.col("cached"), "CACHED"),
+        F.when(F.col("requests") > F.col("budget"), "BUDGET"),
+    ]
+    return plans.select(key, F.explode(F.array_compact(F.array(*checks))).alias("issue"))
+
+
+def wait_seconds(attempt: Column) -> Column:
+    """Seconds before the next try of a request, doubled each time up to four."""
+    return F.least(F.pow(F.lit(2), attempt), F.lit(4.0)).cast("int")

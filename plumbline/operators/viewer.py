@@ -105,3 +105,25 @@ def history(runs: DataFrame, keys: list[str]) -> DataFrame:
     step = lambda n, event, detail: F.struct(F.lit(n).alias("step"), F.lit(event).alias("event"), detail.cast("string").alias("detail"))
     steps = F.array(step(1, "snapshot", F.col("head_sha")), step(2, "scan", F.col("status")), step(3, "patch", F.col("patch_id")), step(4, "rescan", F.col("rescan_status")))
     return runs.select(*keys, F.inline(F.filter(steps, lambda s: s["detail"].isNotNull())))
+
+
+def positions(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """rows with position ("2 / 7") and count within equal keys."""
+    w = W.partitionBy(*keys)
+    n = F.count(F.lit(1)).over(w)
+    return rows.withColumn("of", n).withColumn("position", F.concat_ws(" / ", F.row_number().over(w.orderBy(*order)).cast("string"), n.cast("string")))
+
+
+def display(kind: Column, canonical: Column) -> Column:
+    """A typed value as people read it: None, True, False, else the JSON text of the value; null of none."""
+    body = F.substring(canonical, F.length(kind) + 5, F.length(canonical) - F.length(kind) - 5)
+    return F.when(kind == "NoneType", "None").when((kind == "bool") & (body == "true"), "True").when(kind == "bool", "False").otherwise(body)
+
+
+def structure_issues(rows: DataFrame, key: str, required: list[str], intervals: list[tuple[str, str]], labels: dict[str, tuple[str, ...]]) -> DataFrame:
+    """key, issue: what a report must not hold before it is shown: empty fields, intervals that are none, unknown labels, repeated keys."""
+    checks = [F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), f"EMPTY:{c}") for c in required]
+    checks += [F.when((F.col(a) < 0) | (F.col(a) > F.col(b)) | F.col(a).isNull() | F.col(b).isNull(), f"INTERVAL:{a}") for a, b in intervals]
+    checks += [F.when(~F.coalesce(F.col(c).isin(*allowed), F.lit(False)), f"LABEL:{c}") for c, allowed in labels.items()]
+    twice = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.lit("REPEATED").alias("issue"))
+    return rows.select(key, F.explode(F.array_compact(F.array(*checks))).alias("issue")).unionByName(twice)

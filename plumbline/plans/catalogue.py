@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import extraction, relational
+from plumbline.plans import extraction, quality, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**extraction.QUERIES, **relational.QUERIES}
-ORACLES: dict[str, str] = {**extraction.ORACLES, **relational.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**extraction.QUERIES, **relational.QUERIES, **quality.QUERIES}
+ORACLES: dict[str, str] = {**extraction.ORACLES, **relational.ORACLES, **quality.ORACLES}

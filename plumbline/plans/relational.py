@@ -340,8 +340,8 @@ DEV_OVERLAP = "SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id %
 
 
 def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % 7).alias("method")).pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count(F.lit(1))).na.fill(0).join(e.groupBy((F.col("user_id") % 7).alias("method")).agg(F.round(F.sum(F.col("value").cast("decimal(18,4)")), 2).cast("double").alias("usage")), "method")
+    e = read(spark, sf_dir, "events").withColumn("method", F.col("user_id") % 7)
+    return metrics.compare_methods(e, "method", "event_type", ["click", "error", "purchase", "signup", "view"], "value")
 
 
 METHOD_COMPARISON = """

@@ -41,10 +41,15 @@ def read_report_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
 
 
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """path, sha256 of every file below a folder."""
+    root = folder.rstrip("/")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring_index("path", root + "/", -1).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 def verify_files(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
     """path, problem: files of a folder that are missing, unlisted or of another SHA-256 than expected(path, sha256) says."""
-    root = folder.rstrip("/")
-    now = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring_index("path", root + "/", -1).alias("path"), F.sha2("content", 256).alias("now"))
+    now = inventory(spark, folder).withColumnRenamed("sha256", "now")
     joined = expected.join(now, "path", "full_outer")
     problem = F.when(F.col("now").isNull(), "MISSING").when(F.col("sha256").isNull(), "UNLISTED").when(F.col("now") != F.col("sha256"), "CHANGED")
     return joined.select("path", problem.alias("problem")).where("problem IS NOT NULL")
