@@ -24,7 +24,7 @@ BANDS, ROWS = 20, 4
 WORDS, PERCENT = 5, 80
 FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A bucket of more sets is crowded: it gets up to PIVOTS pivots, and what is then left is split by every other band.
-CROWD, PIVOTS = 128, 4
+CROWD, PIVOTS = 16, 4
 #: Comparisons with one set that one task makes, about.
 SPREAD = 4096
 
@@ -50,7 +50,7 @@ def _bands(s: np.ndarray) -> list[int]:
 def _signatures(words: int) -> Callable[[list[str]], dict]:
     def work(texts: list[str]) -> dict:
         sets = [shingles(t, words) for t in texts]
-        return {"sid": [_digest(s) for s in sets], "bands": [_bands(s) if len(s) else [] for s in sets]}
+        return {"sid": [_digest(s) for s in sets], "n": [len(s) for s in sets], "bands": [_bands(s) if len(s) else [] for s in sets]}
 
     return work
 
@@ -71,47 +71,48 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("total"))
 
 
-def _all_pairs(buckets: DataFrame) -> DataFrame:
-    pairs = buckets.select("key", F.col("sid").alias("a")).join(buckets.select("key", F.col("sid").alias("b")), "key").where("a < b")
-    return pairs.select("a", "b").distinct()
+def _all_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of each bucket whose sizes n allow a similarity of percent."""
+    pairs = buckets.select("key", F.col("sid").alias("a"), F.col("n").alias("x")).join(buckets.select("key", F.col("sid").alias("b"), F.col("n").alias("y")), "key").where("a < b")
+    return pairs.where(F.least("x", "y") * 100 >= percent * F.greatest("x", "y")).select("a", "b").distinct()
 
 
 def _crowded(buckets: DataFrame) -> DataFrame:
-    return spool(buckets.groupBy("key").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "crowded")
+    return spool(buckets.groupBy("key").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD), "crowded")
 
 
 def similar_links(one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that join all sets of one (sid, bands) of which a band retrieves a chain of pairs with a similarity of percent or more.
+    """a, b: links that join all sets of one (sid, bands, and n, the size) of which a band retrieves a chain of pairs with a similarity of percent or more.
 
     Every link is verified exactly. Between a pivot's linked and other sets all those pairs are compared that the distances to the
     pivot allow to be alike. Sets that are left over after PIVOTS pivots are compared where a second band agrees too: a pair at 0.8
     that one band retrieves is then missed with a calculated probability of 0.00005.
     """
-    buckets = spool(one.select("sid", F.explode("bands").alias("key")), "buckets")
+    buckets = spool(one.select("sid", "n", F.explode("bands").alias("key")), "buckets")
     gap, met, todo = 100 - percent, [], []  # compared pairs, and pairs that are still to be compared
     alike = F.col("shared") * 100 >= percent * F.col("total")
     for _ in range(PIVOTS):
         crowded = _crowded(buckets)
         if crowded.isEmpty():
             break
-        todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti")), "pairs"))
-        spread = F.ceil(F.col("n") / SPREAD).cast("long")
-        tried = spool(join_unique(buckets, crowded.withColumn("members", F.col("n")), "key", "members").where("sid <> pivot").select("key", F.col("pivot").alias("a"), F.col("sid").alias("b"), F.pmod(F.xxhash64("sid"), spread).alias("salt")), "tried")
+        todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"), percent), "pairs"))
+        spread = F.ceil(F.col("members") / SPREAD).cast("long")
+        tried = spool(join_unique(buckets, crowded.withColumn("rows", F.col("members")), "key", "rows").where("sid <> pivot").select("key", "n", F.col("pivot").alias("a"), F.col("sid").alias("b"), F.pmod(F.xxhash64("sid"), spread).alias("salt")), "tried")
         found = spool(compared(tried.groupBy("a", "b").agg(F.min("salt").alias("salt")), sets), "met")
         met.append(found.where(alike).select("a", "b"))
         share = (F.col("shared") * 100 / F.col("total")).alias("share")
-        placed = spool(tried.select("key", "a", "b").join(found.select("a", "b", share), ["a", "b"]).select("key", F.col("b").alias("sid"), "share"), "placed")
+        placed = spool(tried.select("key", "n", "a", "b").join(found.select("a", "b", share), ["a", "b"]).select("key", F.col("b").alias("sid"), "n", "share"), "placed")
         rest = placed.where(F.col("share") < percent)
         ring = rest.where(F.col("share") >= percent - gap).select("key", F.col("sid").alias("a"), F.col("share").alias("outer"))
         near = placed.where(F.col("share") >= percent).select("key", F.col("sid").alias("b"), F.col("share").alias("inner"))
         todo.append(spool(ring.join(near, "key").where(F.col("inner") <= F.col("outer") + gap + 1e-9).select("a", "b").distinct(), "across"))
-        buckets = spool(rest.select("sid", "key"), "buckets")
+        buckets = spool(rest.select("sid", "n", "key"), "buckets")
     else:
         crowded = _crowded(buckets)
-        todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti")), "pairs"))
-        apart = join_unique(buckets, crowded.select("key", "n"), "key", "n").join(one.select("sid", F.explode("bands").alias("other")), "sid").where("other <> key")
-        buckets = spool(apart.select("sid", F.xxhash64("key", "other").alias("key")), "buckets")
-    todo.append(spool(_all_pairs(buckets), "pairs"))
+        todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"), percent), "pairs"))
+        apart = join_unique(buckets, crowded.select("key", "members"), "key", "members").join(one.select("sid", F.explode("bands").alias("other")), "sid").where("other <> key")
+        buckets = spool(apart.select("sid", "n", F.xxhash64("key", "other").alias("key")), "buckets")
+    todo.append(spool(_all_pairs(buckets, percent), "pairs"))
     pairs = spool(reduce(DataFrame.unionByName, todo).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("salt", F.lit(0)), "pairs")
     met.append(compared(pairs, sets).where(alike).select("a", "b"))
     return spool(reduce(DataFrame.unionByName, met), "alike")
@@ -126,9 +127,9 @@ def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     """
     known = docs.where(F.col(id_col).isNotNull())
     near = spool(simhash.near_duplicates(docs, id_col=id_col, text_col=text_col), "near")
-    signed = spool(map_texts(known, id_col, text_col, partial(_signatures, words), [T.StructField("sid", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), "signatures")
+    signed = spool(map_texts(known, id_col, text_col, partial(_signatures, words), [T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), "signatures")
     rows = signed.where("sid IS NOT NULL").select(id_col, "sid")
-    one = spool(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(id_col).alias("least"), F.first("bands").alias("bands")), "sets")
+    one = spool(signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
     keys = one.select("sid", F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid"))
     shared = keys.where("n > 1").select("key", "n")
     met = spool(join_unique(one.select("least", "sid", F.explode("bands").alias("key")), spool(shared, "shared"), "key", "n").select(F.col("least").alias(id_col), "sid").distinct(), "met")
