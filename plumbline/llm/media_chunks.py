@@ -26,7 +26,7 @@ UNIT, PAD = 576, b"\xff"
 _rng = np.random.default_rng(20240607)
 GEAR = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
 HEADER = 44
-SPARSE = 16
+SPARSE = 32
 
 
 @dataclass(frozen=True)
