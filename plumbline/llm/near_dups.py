@@ -2,7 +2,8 @@
 
 Only groups are wanted, so a crowded bucket isn't turned into all its pairs: every set is compared with one pivot. Sets alike to the
 pivot are linked through it. The others go on to the next pivot, and Jaccard distance, being a metric, tells which of them
-could still be alike to a linked one.
+could still be alike to a linked one. What a set alone holds can't be shared, so the number of its other shingles bounds its
+similarity to any set: most edited copies of a large group are ruled out by it without being compared.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import partial, reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,24 +72,39 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("total"))
 
 
+def _may_be_alike(percent: int) -> Column:
+    """Whether sets of sizes x and y, with u and v shingles that other sets hold too, can share enough for a similarity of percent."""
+    return F.least("u", "v") * (100 + percent) >= percent * (F.col("x") + F.col("y"))
+
+
+def with_common(one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """sid, n, bands and common, the shingles that another of the sets holds too, of the sets whose common ones suffice for a similarity of percent."""
+    once = sets.select("sid", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("holders"), F.min("sid").alias("sid")).where("holders = 1")
+    counted = one.join(once.groupBy("sid").agg(F.count(F.lit(1)).alias("own")).hint("merge"), "sid", "left")
+    return counted.select("sid", "n", "bands", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(F.col("common") * 100 >= percent * F.col("n"))
+
+
 def _all_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of each bucket whose sizes n allow a similarity of percent."""
-    pairs = buckets.select("key", F.col("sid").alias("a"), F.col("n").alias("x")).join(buckets.select("key", F.col("sid").alias("b"), F.col("n").alias("y")), "key").where("a < b")
-    return pairs.where(F.least("x", "y") * 100 >= percent * F.greatest("x", "y")).select("a", "b").distinct()
+    """a, b: the pairs of each bucket whose sizes n and common shingles allow a similarity of percent."""
+    a, b = (buckets.select("key", F.col("sid").alias(s), F.col("n").alias(n), F.col("common").alias(c)) for s, n, c in ("axu", "byv"))
+    return a.join(b, "key").where("a < b").where(_may_be_alike(percent)).select("a", "b").distinct()
 
 
 def _crowded(buckets: DataFrame) -> DataFrame:
-    return spool(buckets.groupBy("key").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD), "crowded")
+    """The crowded buckets with their sizes and pivots: of each the set with the least share of shingles of its own, so the text that others are copies of."""
+    pivot = F.min(F.struct(((F.col("n") - F.col("common")) / F.col("n")).alias("own"), "sid"))["sid"]
+    return spool(buckets.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD), "crowded")
 
 
 def similar_links(one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that join all sets of one (sid, bands, and n, the size) of which a band retrieves a chain of pairs with a similarity of percent or more.
 
     Every link is verified exactly. Between a pivot's linked and other sets all those pairs are compared that the distances to the
-    pivot allow to be alike. Sets that are left over after PIVOTS pivots are compared where a second band agrees too: a pair at 0.8
+    pivot and the shingles they have in common with any set allow to be alike. Sets that are left over after PIVOTS pivots are compared where a second band agrees too: a pair at 0.8
     that one band retrieves is then missed with a calculated probability of 0.00005.
     """
-    buckets = spool(one.select("sid", "n", F.explode("bands").alias("key")), "buckets")
+    one = spool(with_common(one, sets, percent), "common")
+    buckets = spool(one.select("sid", "n", "common", F.explode("bands").alias("key")), "buckets")
     gap, met, todo = 100 - percent, [], []  # compared pairs, and pairs that are still to be compared
     alike = F.col("shared") * 100 >= percent * F.col("total")
     for _ in range(PIVOTS):
@@ -97,21 +113,21 @@ def similar_links(one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             break
         todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"), percent), "pairs"))
         spread = F.ceil(F.col("members") / SPREAD).cast("long")
-        tried = spool(join_unique(buckets, crowded.withColumn("rows", F.col("members")), "key", "rows").where("sid <> pivot").select("key", "n", F.col("pivot").alias("a"), F.col("sid").alias("b"), F.pmod(F.xxhash64("sid"), spread).alias("salt")), "tried")
+        tried = spool(join_unique(buckets, crowded.withColumn("rows", F.col("members")), "key", "rows").where("sid <> pivot").select("key", "n", "common", F.col("pivot").alias("a"), F.col("sid").alias("b"), F.pmod(F.xxhash64("sid"), spread).alias("salt")), "tried")
         found = spool(compared(tried.groupBy("a", "b").agg(F.min("salt").alias("salt")), sets), "met")
         met.append(found.where(alike).select("a", "b"))
         share = (F.col("shared") * 100 / F.col("total")).alias("share")
-        placed = spool(tried.select("key", "n", "a", "b").join(found.select("a", "b", share), ["a", "b"]).select("key", F.col("b").alias("sid"), "n", "share"), "placed")
+        placed = spool(tried.select("key", "n", "common", "a", "b").join(found.select("a", "b", share), ["a", "b"]).select("key", F.col("b").alias("sid"), "n", "common", "share"), "placed")
         rest = placed.where(F.col("share") < percent)
-        ring = rest.where(F.col("share") >= percent - gap).select("key", F.col("sid").alias("a"), F.col("share").alias("outer"))
-        near = placed.where(F.col("share") >= percent).select("key", F.col("sid").alias("b"), F.col("share").alias("inner"))
-        todo.append(spool(ring.join(near, "key").where(F.col("inner") <= F.col("outer") + gap + 1e-9).select("a", "b").distinct(), "across"))
-        buckets = spool(rest.select("sid", "n", "key"), "buckets")
+        ring = rest.where(F.col("share") >= percent - gap).select("key", F.col("sid").alias("a"), F.col("n").alias("x"), F.col("common").alias("u"), F.col("share").alias("outer"))
+        near = placed.where(F.col("share") >= percent).select("key", F.col("sid").alias("b"), F.col("n").alias("y"), F.col("common").alias("v"), F.col("share").alias("inner"))
+        todo.append(spool(ring.join(near, "key").where((F.col("inner") <= F.col("outer") + gap + 1e-9) & _may_be_alike(percent)).select("a", "b").distinct(), "across"))
+        buckets = spool(rest.select("sid", "n", "common", "key"), "buckets")
     else:
         crowded = _crowded(buckets)
         todo.append(spool(_all_pairs(buckets.join(crowded.select("key"), "key", "left_anti"), percent), "pairs"))
         apart = join_unique(buckets, crowded.select("key", "members"), "key", "members").join(one.select("sid", F.explode("bands").alias("other")), "sid").where("other <> key")
-        buckets = spool(apart.select("sid", "n", F.xxhash64("key", "other").alias("key")), "buckets")
+        buckets = spool(apart.select("sid", "n", "common", F.xxhash64("key", "other").alias("key")), "buckets")
     todo.append(spool(_all_pairs(buckets, percent), "pairs"))
     pairs = spool(reduce(DataFrame.unionByName, todo).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("salt", F.lit(0)), "pairs")
     met.append(compared(pairs, sets).where(alike).select("a", "b"))

@@ -42,3 +42,25 @@ def test_stage_finds_every_pair_of_similarity(spark, monkeypatch, crowd, pivots,
     table = spark.createDataFrame(docs, "doc_id long, text string")
     got = [x.doc_id for x in corpus_pipeline.one_of_each_group(spark, table, "").collect()]
     assert sorted(i for i in got if i is not None) == sorted(set(group.values())) and got.count(None) == 2
+
+
+def test_copies_of_one_text_are_not_compared_with_each_other(spark, monkeypatch):
+    r, compared, counts = random.Random(6), near_dups.compared, []
+    base, docs = prose(1, 300).split(), []
+    for i in range(240):
+        words = list(base)
+        for at in r.sample(range(300), r.randrange(36)) if i != 120 else []:
+            words[at] = f"new{i}at{at}"
+        docs.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dups, "compared", lambda pairs, sets: counts.append(pairs.count()) or compared(pairs, sets))
+    got = {x.doc_id for x in near_dups.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = [set(near_dups.shingles(t).tolist()) for _, t in docs]
+    prints = [simhash.fingerprint(t, 3) for _, t in docs]
+    group = list(range(240))
+    for x in range(240):
+        for y in range(x):
+            if (prints[x] ^ prints[y]).bit_count() <= 3 or len(sets[x] & sets[y]) * 100 >= 80 * len(sets[x] | sets[y]):
+                old, new = max(group[x], group[y]), min(group[x], group[y])
+                group = [new if v == old else v for v in group]
+    assert got == set(group) and 1 < len(got) < 200
+    assert sum(counts) < 8 * len(docs)
