@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.literals import documented_literal
-from plumbline.functions.tables import ship
+from plumbline.functions.tables import ship, written
 from plumbline.operators import align as A
 from plumbline.operators import ignore, judge, patch, verify
 from plumbline.operators.exports import module_closure, with_exports
@@ -142,9 +142,13 @@ w(source, target, hops, seen) AS (
 SELECT source, target, min(hops) AS hops FROM w GROUP BY ALL"""
 
 
+def _extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims and facts of files, each written once."""
+    return written(extract_claims(files).claims, "claims"), written(extract_code(files).facts, "facts")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus.default_files(spark, sf_dir)
-    return A.align(extract_claims(files).claims, extract_code(files).facts)
+    return A.align(*_extracted(corpus.default_files(spark, sf_dir)))
 
 
 def align_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +169,7 @@ JUDGE_LITERALS = f"SELECT k, {DECISION} AS decision, reason_code, CASE WHEN reas
 
 def judge_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.call_files(spark, sf_dir)
-    judged = judge.judge(A.align(extract_claims(files).claims, extract_code(files).facts))
+    judged = judge.judge(A.align(*_extracted(files)))
     return judged.select(key(), "decision", "reason_code")
 
 
@@ -180,7 +184,7 @@ def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = corpus.part_key(F.col("span.path"))
     judged = judge.judge(_aligned(spark, sf_dir))
     forged = judged.withColumn("quote", F.when(k % 23 == 0, F.concat("quote", F.lit(" "))).otherwise(F.col("quote"))).withColumn("subject", F.when((k % 29 == 0) & (k % 23 != 0), "forged").otherwise(F.col("subject")))
-    checked = verify.verify(forged, files, extract_claims(files).claims, extract_code(files).facts)
+    checked = verify.verify(forged, files, *_extracted(files))
     return checked.select(key(), F.coalesce("reject", F.lit("PROVEN")).alias("outcome"))
 
 

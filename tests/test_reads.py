@@ -54,3 +54,30 @@ def test_a_task_hands_on_rows_before_it_has_read_its_files(spark, tmp_path, monk
     monkeypatch.setattr(extract, "read_source", counted)
     assert len(extract.extract_code(many).entities.limit(10).collect()) == 10
     assert len(open(log).read()) < 1000
+
+
+def test_alignment_reads_each_file_once_and_verification_once_more(spark, reads):
+    catalogue.QUERIES["align_corpus"](spark, SF).collect()
+    assert set(reads().values()) == {1}
+    before = reads()
+    catalogue.QUERIES["verify_findings"](spark, SF).collect()
+    assert set((reads() - before).values()) == {2}
+
+
+def test_names_that_no_claim_uses_are_left_out(spark):
+    from plumbline.operators import align
+
+    found = extract.extract_code(files(spark, {f"p{i}.py": "def item(size=1, other=2): pass\n" for i in range(20)})).facts
+    claims = extract.extract_claims(files(spark, {"d.md": "# `p3.item`\n\n`size` defaults to `1`.\n"})).claims
+    assert align._tops(claims, found, 5).count() == 1
+    assert [(r.matches, r.fact.subject) for r in align.align(claims, found).collect()] == [(1, "p3.item")]
+
+
+def test_more_properties_than_can_be_listed_give_the_same(spark, monkeypatch):
+    from plumbline.operators import align
+
+    found = extract.extract_code(files(spark, {"p.py": "def item(size=1, other=2): pass\n"})).facts
+    claims = extract.extract_claims(files(spark, {"d.md": "# `p.item`\n\n`size` defaults to `1`.\n\n`other` defaults to `1`.\n"})).claims
+    want = sorted(map(repr, align.align(claims, found).collect()))
+    monkeypatch.setattr(align, "PROPERTIES", 1)
+    assert sorted(map(repr, align.align(claims, found).collect())) == want and len(want) == 2
