@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import written
+
 
 def duplicates(rows: DataFrame, keys: list[str], check: str) -> DataFrame:
     named = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
@@ -22,14 +24,14 @@ def dangling(rows: DataFrame, keys: list[str], parents: DataFrame, check: str, l
 def report_violations(files: DataFrame, entities: DataFrame, facts: DataFrame, claims: DataFrame, judgments: DataFrame, findings: DataFrame) -> DataFrame:
     """check, id of every broken rule between the tables of a scan."""
     r = "repo_id"
-    hashes = files.select(r, F.col("path").alias("path"), F.sha2("content", 256).alias("blob_hash"))
+    hashes = written(files.select(r, F.col("path").alias("path"), F.sha2("content", 256).alias("blob_hash")), "hashes")
     at = lambda t, i: t.select(r, i, F.col("span.path").alias("path"), F.col("span.blob_hash").alias("blob_hash"))
     links = facts.select(r, "fact_id", F.explode("provenance").alias("p")).select(r, "fact_id", F.col("p.path").alias("path"), F.col("p.blob_hash").alias("blob_hash"))
     cited = judgments.select(r, "claim_id", F.explode("fact_ids").alias("fact_id"))
     shown = findings.select(r, "finding_id", "claim_id", F.explode("fact_ids").alias("fact_id"), F.col("evidence.document").alias("document"), F.col("evidence.code").alias("code"))
     agrees = shown.join(claims.select(r, "claim_id", F.col("span").alias("cs")), [r, "claim_id"]).join(facts.select(r, "fact_id", F.col("span").alias("fs")), [r, "fact_id"]).where("document <> cs OR code <> fs")
     parts = [
-        duplicates(files, [r, "path"], "file twice"),
+        duplicates(hashes, [r, "path"], "file twice"),
         duplicates(entities, [r, "entity_id"], "entity twice"),
         duplicates(facts, [r, "fact_id"], "fact twice"),
         duplicates(claims, [r, "claim_id"], "claim twice"),

@@ -81,3 +81,13 @@ def test_more_properties_than_can_be_listed_give_the_same(spark, monkeypatch):
     want = sorted(map(repr, align.align(claims, found).collect()))
     monkeypatch.setattr(align, "PROPERTIES", 1)
     assert sorted(map(repr, align.align(claims, found).collect())) == want and len(want) == 2
+
+
+def test_judgments_alone_read_each_file_once_and_findings_once_more(spark, reads):
+    from plumbline.plans.scan import Config, scan
+
+    repo = files(spark, {"c.py": "def connect(timeout=60): return timeout\n", "d.md": states("30")})
+    report = scan(repo, Config(exports=False))
+    assert report.judgments.count() == 1 and set(reads().values()) == {1}
+    assert report.findings.count() == 1 and report.rejected.count() == 0 and report.findings.count() == 1
+    assert set(reads().values()) == {2}
