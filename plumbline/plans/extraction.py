@@ -15,7 +15,7 @@ from plumbline.operators import ignore, judge, patch, verify
 from plumbline.operators.exports import module_closure, with_exports
 from plumbline.operators.extract import extract_claims, extract_code
 from plumbline.plans import corpus
-from plumbline.plans.scan import Config, scan
+from plumbline.plans.scan import Config, rescan, scan
 
 P = "SELECT p_partkey AS k, p_size AS size, p_brand AS brand FROM part"
 S = "(CASE WHEN k % 17 = 0 THEN 'factory()' ELSE size::VARCHAR END)"
@@ -260,8 +260,8 @@ SELECT repo_id, finding_id, start_byte, start_byte + 20 AS end_byte, coalesce(le
 def patch_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scan says of the documents once all edits are made: nothing is left, and no other decision changes."""
     files = corpus.default_files(spark, sf_dir)
-    edits = patch.edits_of(scan(files, Config(exports=False)).findings)
-    again = scan(patch.apply_edits(files, edits), Config(exports=False))
+    first = scan(files, Config(exports=False))
+    again = rescan(first, patch.apply_edits(files, patch.edits_of(first.findings)), Config(exports=False))
     return again.judgments.groupBy("decision", "reason_code").agg(F.count(F.lit(1)).alias("claims"))
 
 
@@ -271,8 +271,9 @@ SELECT {DECISION} AS decision, reason_code, count(*) AS claims FROM (SELECT k, r
 
 def patch_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.default_files(spark, sf_dir)
-    patched = patch.apply_edits(files, patch.edits_of(scan(files, Config(exports=False)).findings))
-    return patch.unified_diffs(files, patched).select(key("path"), "diff")
+    edits = patch.edits_of(scan(files, Config(exports=False)).findings)
+    edited = files.join(edits.select(patch.FILE).distinct(), patch.FILE, "left_semi")
+    return patch.unified_diffs(edited, patch.apply_edits(edited, edits)).select(key("path"), "diff")
 
 
 _LINE = "'`size` defaults to `' || {} || '`.' || chr(10)"

@@ -91,3 +91,11 @@ def test_judgments_alone_read_each_file_once_and_findings_once_more(spark, reads
     assert report.judgments.count() == 1 and set(reads().values()) == {1}
     assert report.findings.count() == 1 and report.rejected.count() == 0 and report.findings.count() == 1
     assert set(reads().values()) == {2}
+
+
+def test_proof_of_a_patch_reads_documents_anew_and_code_no_more(spark, reads):
+    from plumbline.plans.scan import Config, propose_patches, scan
+
+    repo = files(spark, {"c.py": "def connect(timeout=60): return timeout\n", "d.md": states("30")})
+    assert [p.validation for p in propose_patches(scan(repo, Config(exports=False)), Config(exports=False)).collect()] == ["VALIDATED"]
+    assert reads() == {"repo/c.py": 2, "repo/d.md": 3}
